@@ -16,10 +16,8 @@ FIRST_PIECE_ID = 3
 
 def split_words(title: Column) -> Column:
     """White-space separated words of a title; an empty title has none."""
-    trimmed = F.regexp_replace(title, f"^{SPACE}|{SPACE}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, SPACE)
-    )
+    # space at either end of the title leaves an empty first or last element
+    return F.array_remove(F.split(title, SPACE), "")
 
 
 def char_pieces(word: Column, width: int = 4) -> Column:

@@ -23,7 +23,8 @@ def title_words(
     titles: DataFrame, title: str = "title", keep: tuple[str, ...] = ("record_number",)
 ) -> DataFrame:
     """One row per word of each title with its dense 0-based position."""
-    return titles.select(*keep, F.posexplode(split_words(F.col(title))).alias("pos", "token"))
+    words = title_words_in_context(titles, title, keep)
+    return words.drop("prev", "next")
 
 
 def title_words_in_context(
@@ -31,9 +32,10 @@ def title_words_in_context(
 ) -> DataFrame:
     """`title_words` with the neighbouring words, read from the title itself: no shuffle."""
     words = titles.select(*keep, split_words(F.col(title)).alias("_words"))
-    return words.select(
-        *keep, "_words", F.posexplode("_words").alias("pos", "token")
-    ).select(
+    # The outer form keeps the optimizer from testing the array first, which would
+    # split every title twice more; titles without words are dropped right after.
+    exploded = words.select(*keep, "_words", F.posexplode_outer("_words").alias("pos", "token"))
+    return exploded.filter(F.col("pos").isNotNull()).select(
         *keep, "pos", "token",
         F.get("_words", F.col("pos") - 1).alias("prev"),
         F.get("_words", F.col("pos") + 1).alias("next"),

@@ -28,7 +28,9 @@ from titletags.operators.fill import forward_fill
 from titletags.operators.ordered import long_records
 from titletags.operators.spans import aspect_words, decode_spans, first_piece_labels
 from titletags.plans import fixtures as fx
-from titletags.sources import tables
+from titletags.plans import inference, jobs, tagging, training
+from titletags.plans.quota_folds import quota_folds as assign_quota_folds
+from titletags.sources import models, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -635,3 +637,94 @@ def document_folds(spark, d):
 def unlabelled_documents(spark, d):
     docs = fx.document_labels(spark, d).filter(F.col("quality").isNull())
     return docs.groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query
+def quota_folds(spark, d):
+    counts = tables.materialise(_record_labels(spark, d))
+    return assign_quota_folds(counts)
+
+
+@query
+def quota_fold_balance(spark, d):
+    """How far the records of each label are from an even spread over the folds."""
+    counts = tables.materialise(_record_labels(spark, d))
+    placed = counts.join(assign_quota_folds(counts), "record_number")
+    per_fold = placed.groupBy("label_id", "fold").agg(F.count("*").alias("n"))
+    return per_fold.groupBy("label_id").agg(
+        F.sum("n").alias("n_records"), F.min("n").alias("min_fold"), F.max("n").alias("max_fold")
+    )
+
+
+# --- tagger -------------------------------------------------------------------
+
+# Titles above this number count as unlabelled, those up to it as labelled.
+LAST_LABELLED = 30000
+
+
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    words = tables.materialise(lookup.with_label_id(fx.filled(spark, d), "tag"))
+    placed = seqs.with_neighbours(words, long=long_records(words))
+    assigned = folds.assign_folds(folds.record_label_counts(words))
+    return training.fold_examples(placed, assigned)
+
+
+@query
+def tagger_evaluation(spark, d):
+    """Fit on four folds, report each label on the fifth."""
+    examples = _examples(spark, d)
+    model = tagging.fit_tagger(training.train_side(examples, 0))
+    return tagging.evaluate(training.test_side(examples, 0), model)
+
+
+@query
+def tagger_cross_validation(spark, d):
+    return training.cross_validate(_examples(spark, d), range(5))[0]
+
+
+@query
+def saved_tagger_score(spark, d):
+    """Save a model with its score, load both, and label the test fold with it."""
+    examples, path = _examples(spark, d), tables.shared_folder(spark)
+    training.cross_validate(examples, [0], rounds=(10,), model_path=path)
+    model, best = models.load_model(spark, f"{path}/fold_0")
+    labelled = tagging.score(training.test_side(examples, 0), model, "p")
+    counts = labelled.groupBy("p").agg(F.sum("n").alias("n_words"))
+    return counts.withColumn("best_f1", F.lit(best.first()["best_f1"]))
+
+
+def _label_titles_file(spark: SparkSession, d: str, fold_numbers: list[int]) -> DataFrame:
+    """Save the models of the given folds, label a titles file with them, read the output."""
+    folder, out = tables.shared_folder(spark), tables.shared_folder(spark)
+    training.cross_validate(_examples(spark, d), fold_numbers, rounds=(10,), model_path=folder)
+    titles = tables.shared_folder(spark)
+    tables.write_table(fx.titles(spark, d).orderBy("record_number"), titles)
+    jobs.label_titles(spark, titles, [f"{folder}/fold_{f}" for f in fold_numbers], out)
+    return tables.read_spans(spark, out)
+
+
+@query
+def infer_titles(spark, d):
+    return _label_titles_file(spark, d, [0])
+
+
+@query
+def infer_titles_ensemble(spark, d):
+    """Spans by the mean probability of the models of three folds."""
+    return _label_titles_file(spark, d, [0, 1, 2])
+
+
+@query
+def pseudo_labels(spark, d):
+    model = tagging.fit_tagger(training.train_side(_examples(spark, d), 0))
+    return inference.pseudo_labels(fx.titles(spark, d), model, LAST_LABELLED)
+
+
+@query
+def self_training(spark, d):
+    examples = _examples(spark, d)
+    contexts = inference.unlabelled_contexts(fx.titles(spark, d), LAST_LABELLED)
+    return training.self_train(
+        training.train_side(examples, 0), training.test_side(examples, 0),
+        tables.materialise(contexts),
+    )[0]

@@ -70,10 +70,11 @@ def with_row_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
     )
 
 
-def write_spans(spans: DataFrame, path: str, mode: str = "error") -> None:
+def write_spans(spans: DataFrame, path: str, mode: str = "error",
+                order: tuple[str, ...] = ("record_number", "span_no")) -> None:
     """Write spans as tab-separated lines without header, in record order."""
     (
-        spans.orderBy("record_number", "span_no")
+        spans.orderBy(*order)
         .select("record_number", "aspect", "value")
         .write.mode(mode)
         .option("sep", "\t")
