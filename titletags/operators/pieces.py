@@ -37,19 +37,20 @@ def with_piece_ids(words: DataFrame, token: str = "token",
     return words.withColumn(out, tokenizer(F.col(token)))
 
 
-def align_words(words: DataFrame, label_id: str = "label_id",
-                piece_ids: str = "piece_ids") -> DataFrame:
+def align_words(words: DataFrame, label_id: str = "label_id", piece_ids: str = "piece_ids",
+                first_piece_only: bool = True) -> DataFrame:
     """One row per piece; only the first piece of a word carries its label.
 
-    A word without pieces gives no row.
+    With `first_piece_only` off every piece carries it, as in pseudo-labels. A word
+    without pieces gives no row.
     """
     exploded = words.select(
         *[c for c in words.columns if c not in (label_id, piece_ids)],
         F.col(label_id).alias("_label"),
         F.posexplode(piece_ids).alias("piece_no", "piece_id"),
     )
-    first = F.when(F.col("piece_no") == 0, F.col("_label"))
-    return exploded.withColumn(label_id, first).drop("_label")
+    carries = F.lit(not first_piece_only) | (F.col("piece_no") == 0)
+    return exploded.withColumn(label_id, F.when(carries, F.col("_label"))).drop("_label")
 
 
 def align_sequences(sequences: DataFrame, cls_id: int = CLS_ID, sep_id: int = SEP_ID) -> DataFrame:

@@ -143,13 +143,27 @@ def tag_index(words: DataFrame, tag: str = "tag", order: str = "row_idx") -> Dat
 
 def multi_hot(words: DataFrame, record: str = "record_number", label_id: str = "label_id",
               width: int = N_LABELS) -> DataFrame:
-    """0/1 vector per record over all label ids; missing labels are left out."""
-    ids = words.groupBy(record).agg(F.collect_set(label_id).alias("_ids"))
-    hot = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.array_contains("_ids", i).cast("int"),
-    )
-    return ids.select(record, hot.alias("hot"))
+    """0/1 vector per record over all label ids; missing labels are left out.
+
+    The ids are gathered as bits of whole numbers, so the aggregation buffer has a
+    fixed width and stays in a hash table.
+    """
+    bits = 63
+    words_needed = range(-(-width // bits))
+    gathered = words.groupBy(record).agg(*[
+        F.bit_or(
+            F.when(
+                F.floor(F.col(label_id) / bits) == w,
+                F.call_function("shiftleft", F.lit(1).cast("long"), F.col(label_id) % bits),
+            )
+        ).alias(f"_bits{w}")
+        for w in words_needed
+    ])
+    hot = [
+        F.coalesce(F.getbit(f"_bits{i // bits}", F.lit(i % bits)).cast("int"), F.lit(0))
+        for i in range(width)
+    ]
+    return gathered.select(record, F.array(*hot).alias("hot"))
 
 
 def multi_hot_columns(words: DataFrame, tags: list[str], record: str = "record_number",

@@ -569,9 +569,9 @@ def cycle_batches(spark, d):
 
 
 def _record_labels(spark: SparkSession, d: str) -> DataFrame:
-    return folds.record_label_counts(fx.gold(spark, d), label="y").withColumnRenamed(
-        "y", "label_id"
-    )
+    """Words per record and label, written out once: the fold jobs read it several times."""
+    gold = fx.gold(spark, d).withColumnRenamed("y", "label_id")
+    return tables.materialise(folds.record_label_counts(gold))
 
 
 @query
@@ -641,14 +641,14 @@ def unlabelled_documents(spark, d):
 
 @query
 def quota_folds(spark, d):
-    counts = tables.materialise(_record_labels(spark, d))
+    counts = _record_labels(spark, d)
     return assign_quota_folds(counts)
 
 
 @query
 def quota_fold_balance(spark, d):
     """How far the records of each label are from an even spread over the folds."""
-    counts = tables.materialise(_record_labels(spark, d))
+    counts = _record_labels(spark, d)
     placed = counts.join(assign_quota_folds(counts), "record_number")
     per_fold = placed.groupBy("label_id", "fold").agg(F.count("*").alias("n"))
     return per_fold.groupBy("label_id").agg(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ from titletags.functions.features import CONTEXT, context_features
 from titletags.functions.labels import N_LABELS
 from titletags.operators import metrics
 
-N_FEATURES = 1 << 12
+# Most frequent features kept; bounds the model at 70 x N_FEATURES coefficients.
+N_FEATURES = 1 << 14
 
 
 def count_examples(words: DataFrame, keys: Sequence[str] = (), label: str = "label_id") -> DataFrame:
@@ -40,23 +41,31 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 def fit_tagger(examples: DataFrame, weight: str = "n", max_iter: int = 20,
                reg: float = 1e-5, n_features: int = N_FEATURES) -> PipelineModel:
-    """Multinomial regression over all 70 labels, also those the examples lack."""
+    """Multinomial regression over all 70 labels, also those the examples lack.
+
+    The features seen make up the vector, so that the coefficients fill their matrix
+    and are stored densely: scoring with a sparse matrix is many times slower.
+    """
     nominal = {"ml_attr": {"type": "nominal", "num_vals": N_LABELS}}
     rows = with_features(examples).select(
         "terms",
         F.col("label_id").cast("double").alias("label", metadata=nominal),
         F.col(weight).cast("double").alias("weight"),
     )
-    hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=n_features, binary=True)
+    vectors = CountVectorizer(
+        inputCol="terms", outputCol="features", vocabSize=n_features, binary=True
+    )
     regression = LogisticRegression(
         family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg
     )
-    return Pipeline(stages=[hashing, regression]).fit(rows)
+    return Pipeline(stages=[vectors, regression]).fit(rows)
 
 
 def score(words: DataFrame, model: PipelineModel, out: str = "label_id") -> DataFrame:
     """Best label per word in context; a narrow job, no shuffle."""
-    scored = model.transform(with_features(words))
+    vectors, regression = model.stages
+    label_only = {regression.probabilityCol: "", regression.rawPredictionCol: ""}
+    scored = regression.transform(vectors.transform(with_features(words)), label_only)
     return _once(scored, words.columns, F.col("prediction").cast("int"), out)
 
 
@@ -75,16 +84,18 @@ def score_ensemble(words: DataFrame, models: Sequence[PipelineModel],
 
     All models see the row in the same pass, so their vectors never leave it.
     """
-    rows = models[0].stages[0].transform(with_features(words))
+    rows = with_features(words)
     probabilities = []
     for i, model in enumerate(models):
-        regression = model.stages[-1]
-        names = {
+        vectors, regression = model.stages
+        rows = vectors.transform(rows, {vectors.outputCol: f"_f{i}"})
+        probability_only = {
+            regression.featuresCol: f"_f{i}",
             regression.probabilityCol: f"_p{i}",
-            regression.rawPredictionCol: f"_r{i}",
-            regression.predictionCol: f"_y{i}",
+            regression.rawPredictionCol: "",
+            regression.predictionCol: "",
         }
-        rows = regression.transform(rows, names)
+        rows = regression.transform(rows, probability_only)
         probabilities.append(vector_to_array(f"_p{i}"))
     return _once(rows, words.columns, arrays.argmax(arrays.mean(probabilities)), out)
 
