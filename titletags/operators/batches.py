@@ -28,7 +28,7 @@ def batches_shuffled(rows: DataFrame, seed: int, record: str = "record_number",
 
 def _cut(numbered: DataFrame, size: int) -> DataFrame:
     n = F.col("_n")
-    return numbered.withColumn("batch_id", F.floor(n / size).cast("long")).withColumn(
+    return numbered.withColumn("batch_id", F.call_function("div", n, F.lit(size))).withColumn(
         "slot", (n % size).cast("int")
     )
 

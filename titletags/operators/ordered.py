@@ -24,7 +24,7 @@ TO_CURRENT = (Window.unboundedPreceding, Window.currentRow)
 
 def range_chunk(order: Column, rows: int = ROWS_PER_CHUNK) -> Column:
     """Chunk number of a near-dense integer order column."""
-    return F.floor(order / F.lit(rows)).cast("long")
+    return F.call_function("div", order, F.lit(rows))
 
 
 def digest_chunk(digest: Column, digits: int = 3) -> Column:

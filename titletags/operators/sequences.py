@@ -56,7 +56,7 @@ def word_sequences(
     """
     values = F.struct("token", "tag") if values is None else values
     return (
-        words.withColumn("part", F.floor(F.col(pos) / part_words).cast("int"))
+        words.withColumn("part", F.call_function("div", F.col(pos), F.lit(part_words)).cast("int"))
         .groupBy(record, "part")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), values.alias("v"))))
              .alias("seq"))

@@ -438,8 +438,12 @@ def _output_lines(spark: SparkSession, spans: DataFrame) -> DataFrame:
 
 
 def _output_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs from the true and from the predicted labels, written, read and compared."""
+    words = tables.materialise(lookup.with_label(fx.predicted(spark, d), "p"))
+    long = long_records(words)
+    truth = decode_spans(words.drop("label").withColumnRenamed("tag", "label"), long=long)
     return compare.line_diff(
-        _output_lines(spark, _gold_spans(spark, d)), _output_lines(spark, _predicted_spans(spark, d))
+        _output_lines(spark, truth), _output_lines(spark, decode_spans(words, long=long))
     )
 
 

@@ -47,8 +47,10 @@ def with_row_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
     """0-based row number of a just-read file table, in path and line order.
 
     Rows stay where they were read. The running id is only comparable within one
-    split of one file, so each split's first id and row count are taken, and the
-    counts of the splits before it added. One row per split is shuffled.
+    split of one file, so the first id and the row count of each split are taken,
+    and the counts of the splits before it added. That table, one row per split, is
+    written out: the files are counted once however often the result is used, and
+    Spark broadcasts it if its true size allows.
     """
     columns = rows.columns
     placed = rows.select(
@@ -57,15 +59,15 @@ def with_row_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    before = Window.orderBy("_path", "_start").rowsBetween(*PRECEDING)
     splits = placed.groupBy("_path", "_start").agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")
     )
-    splits = splits.select(
+    before = Window.orderBy("_path", "_start").rowsBetween(*PRECEDING)
+    shifts = materialise(splits.select(
         "_path", "_start",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    return placed.join(splits, ["_path", "_start"]).select(
+    ))
+    return placed.join(shifts, ["_path", "_start"]).select(
         *columns, (F.col("_id") + F.col("_shift")).alias(out)
     )
 
