@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titletags.operators.ordered import PRECEDING
+from titletags.session import shared_base
 
 TAGGED_SCHEMA = "record_number long, title string, token string, tag string"
 TITLES_SCHEMA = "record_number long, title string"
@@ -130,16 +130,8 @@ def records_above(titles: DataFrame, lowest: int, record: str = "record_number")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder for intermediate tables below the cluster's checkpoint folder.
-
-    Only where the session names none, as in tests, a temporary folder is set.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if base is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="titletags-"))
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder for an intermediate table below the session's shared folder."""
+    return f"{shared_base(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def materialise(rows: DataFrame) -> DataFrame:
