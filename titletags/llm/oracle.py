@@ -1,6 +1,7 @@
 """What each query must return, in DuckDB SQL."""
 
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 EXACT_DEDUP = rf"""
 with rows as (
@@ -12,6 +13,72 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_
 from rows join groups using (t)
 """
 
+
+def _level(name: str, path: list[str], weight: str, budget: str) -> str:
+    """Shares of the children at one level of the tree: {name}(path, budget)."""
+    keys = ", ".join(path)
+    parent = ", ".join(path[:-1])
+    part = f"partition by {parent}" if parent else ""
+    order = f"{part} order by room / weight, {path[-1]}"
+    earlier = f"({order} rows between unbounded preceding and 1 preceding)"
+    return f"""
+{name}_nodes as (
+  select {keys}, 4 * sum(supply) as room, {weight} as weight from leaves group by {keys}
+), {name}_marked as (
+  select n.*, budget, room * (sum(weight) over ({part}) - coalesce(sum(weight) over {earlier}, 0))
+    <= weight * (budget - coalesce(sum(room) over {earlier}, 0)) as is_full
+  from {budget}
+), {name}_rest as (
+  select *, budget - sum(case when is_full then room else 0 end) over ({part}) as rest,
+    sum(case when is_full then 0 else weight end) over ({part}) as open_weight,
+    sum(case when is_full then 0 else weight end) over ({order}
+      rows between unbounded preceding and current row) as upto
+  from {name}_marked
+), {name} as (
+  select {keys}, case when is_full then room
+    else upto * rest // open_weight - (upto - weight) * rest // open_weight end as budget
+  from {name}_rest
+)"""
+
+
+MIXING = rf"""
+with counted as (
+  select doc_id, coalesce('d' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) // 5),
+      '(none)') as domain,
+    coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source,
+    coalesce(len(regexp_extract_all(text, '{WORD}')), 0) as n_tokens
+  from documents
+), leaves as (
+  select domain, lang, source, sum(n_tokens) as supply from counted group by all
+), {_level("by_domain", ["domain"],
+           "case domain when 'd0' then 4 when 'd1' then 3 when 'd2' then 2 else 1 end",
+           "by_domain_nodes n, (select sum(supply) * 6 // 10 as budget from leaves)")}
+, {_level("by_lang", ["domain", "lang"],
+          "case when domain not in ('d0', 'd1', 'd2', 'd3') then 1 "
+          "when lang = 'en' then 4 when lang = 'de' then 2 else 1 end",
+          "by_lang_nodes n join by_domain using (domain)")}
+, {_level("by_source", ["domain", "lang", "source"],
+          "case when domain = 'd0' and lang = 'en' and source = 'src0' then 3 else 1 end",
+          "by_source_nodes n join by_lang using (domain, lang)")}
+, planned as (
+  select c.*, budget as leaf_budget, budget // supply as epochs, budget % supply as rest,
+    md5(concat_ws('-', '17', budget // supply, doc_id)) as digest
+  from counted c join by_source using (domain, lang, source)
+    join leaves using (domain, lang, source)
+), running as (
+  select *, sum(n_tokens) over (partition by domain, lang, source order by digest, doc_id
+    rows between unbounded preceding and current row) - n_tokens as before
+  from planned
+), taken as (
+  select *, greatest(least(n_tokens, rest - before), 0) as last from running
+)
+select doc_id, domain, lang, source, n_tokens::bigint as n_tokens,
+  leaf_budget::bigint as leaf_budget, epochs::bigint as epochs,
+  last::bigint as last_epoch_tokens, (epochs * n_tokens + last)::bigint as tokens_taken
+from taken
+"""
+
 ORACLE = {
+    "op2_mixing": MIXING,
     "op5_exact_dedup": EXACT_DEDUP,
 }
