@@ -156,8 +156,8 @@ class Codec:
             for ids in batches:
                 yield _series(map(tokenizer.decode, ids))
 
-        self._encode = F.pandas_udf(encoded, "binary", F.PandasUDFType.SCALAR_ITER)
-        self._decode = F.pandas_udf(decoded, "binary", F.PandasUDFType.SCALAR_ITER)
+        self._encode = F.pandas_udf(encoded, "binary")
+        self._decode = F.pandas_udf(decoded, "binary")
 
     def encode(self, text: Column) -> Column:
         """Ids of a text as a binary column; null and empty texts have no ids."""

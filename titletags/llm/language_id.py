@@ -205,8 +205,7 @@ def language(model: LanguageModel, spark, text: Column) -> Column:
             yield pd.DataFrame([shared.value.predict(t) for t in texts],
                                columns=["lang_pred", "score"])
 
-    return F.pandas_udf(predicted, "lang_pred string, score double",
-                        F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(predicted, "lang_pred string, score double")(text)
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id",

@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from titletags.llm import bpe, language_id, oracle
 from titletags.llm.block_naming import exact_duplicates
 from titletags.llm.common import documents, id_remainder
-from titletags.llm.mixing import Mixture, mix
+from titletags.llm.mixing import mix
+from titletags.llm.settings import MIXTURE, PATTERN, VOCABULARY, domain
 from titletags.llm.simhash import near_duplicates
 
-VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-# Target mix of the given sources: five sources make a domain.
-MIXTURE = Mixture(
-    weights={
-        ("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1,
-        **{(f"d{i}", "en"): 4 for i in range(4)},
-        **{(f"d{i}", "de"): 2 for i in range(4)},
-        ("d0", "en", "src0"): 3,
-    },
-    budget_parts=6, of_parts=10, max_epochs=4, seed=17,
-)
-
-
-def domain(source: str = "source") -> Column:
-    """The domain of a source: its number by fives."""
-    number = F.nullif(F.regexp_extract(source, "([0-9]+)$", 1), F.lit("")).try_cast("int")
-    return F.concat(F.lit("d"), F.floor(number / 5).cast("string"))
-
-
 def op2_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir), domain(), MIXTURE)
 
@@ -41,7 +19,7 @@ def op5_exact_dedup(spark, sf_dir):
 
 def op6_byte_bpe(spark, sf_dir):
     return bpe.digests(bpe.encoded_documents(
-        documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN))
+        documents(spark, sf_dir), VOCABULARY, PATTERN))
 
 
 def op9_simhash_near_dedup(spark, sf_dir):

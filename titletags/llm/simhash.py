@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for texts in batches:
             yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
 
-    bits = F.pandas_udf(prints, "long", F.PandasUDFType.SCALAR_ITER)
+    bits = F.pandas_udf(prints, "long")
     return docs.select(F.col(doc_id).alias("doc_id"), bits(F.col(text)).alias("bits"))
 
 
