@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titletags.llm.linear import ftrl, softmax
+
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -85,11 +87,6 @@ class LanguageModel:
         return self.languages[best], float(p[best])
 
 
-def softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(scores - scores.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
-
-
 def inverse_document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """ln((1 + documents) / (1 + documents with the bucket)) + 1, over all rows."""
 
@@ -113,36 +110,6 @@ def inverse_document_frequencies(docs: DataFrame, text: str = "text") -> np.ndar
     return np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs: int = 3,
-         alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01,
-         seed: int = 0) -> np.ndarray:
-    """Weights (buckets + constant) x classes.
-
-    Each coordinate has its own learning rate; the absolute penalty l1 keeps weights of
-    uninformative buckets at exactly zero, l2 keeps the others small.
-    """
-    z = np.zeros((BUCKETS + 1, n_classes))
-    squares = np.zeros_like(z)
-
-    def weights(z: np.ndarray, squares: np.ndarray) -> np.ndarray:
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - l1, 0)
-        return -shrunk / ((beta + np.sqrt(squares)) / alpha + l2)
-
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            at, values, label = rows[i]
-            at, values = np.append(at, BUCKETS), np.append(values, 1.0)
-            w = weights(z[at], squares[at])
-            error = softmax(values @ w)
-            error[label] -= 1.0
-            gradient = values[:, None] * error
-            grown = squares[at] + gradient * gradient
-            z[at] += gradient - (np.sqrt(grown) - np.sqrt(squares[at])) / alpha * w
-            squares[at] = grown
-    return weights(z, squares)
-
-
 def best_temperature(scores: np.ndarray, truth: np.ndarray) -> float:
     """The temperature with the lowest log loss, found on a logarithmic grid."""
     if not len(truth):
@@ -189,7 +156,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     ]
     every = max(2, round(1 / CALIBRATION_SHARE))
     learned = [row for i, row in enumerate(sample) if i % every]
-    weights = ftrl(learned or sample, len(languages))
+    weights = ftrl(learned or sample, BUCKETS, len(languages), alpha=1.0, l1=0.002, l2=0.01)
     kept = [row for i, row in enumerate(sample) if i % every == 0]
     scores = np.array([values @ weights[at] + weights[-1] for at, values, _ in kept])
     return LanguageModel(languages, idf, weights,

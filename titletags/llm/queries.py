@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from titletags.llm import bpe, language_id, oracle
+from pyspark.sql import functions as F
+
+from titletags.llm import bpe, language_id, oracle, pairwise_quality, toxicity
 from titletags.llm.block_naming import exact_duplicates
-from titletags.llm.common import documents, id_remainder
+from titletags.llm.common import documents, id_remainder, labels
 from titletags.llm.mixing import mix
 from titletags.llm.settings import MIXTURE, PATTERN, VOCABULARY, domain
 from titletags.llm.simhash import near_duplicates
 
+def op1_pairwise_quality(spark, sf_dir):
+    docs, held_out = documents(spark, sf_dir), id_remainder(5) == 0
+    model = pairwise_quality.fit(docs.filter(~held_out), labels(spark, sf_dir))
+    return pairwise_quality.score_quality(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir), domain(), MIXTURE)
 
@@ -22,6 +31,17 @@ def op6_byte_bpe(spark, sf_dir):
         documents(spark, sf_dir), VOCABULARY, PATTERN))
 
 
+def op8_toxicity_chain(spark, sf_dir):
+    """Bad texts first, then toxic ones; `score` and `predicted` are about toxicity."""
+    docs, held_out = documents(spark, sf_dir), id_remainder(5) == 0
+    marked = labels(spark, sf_dir).select(
+        "doc_id", (1 - F.col("quality")).alias("bad"), F.col("toxic"))
+    chain = toxicity.fit(docs.filter(~held_out), marked, ["bad", "toxic"])
+    return toxicity.score_toxicity(docs, chain).select(
+        "doc_id", held_out.alias("held_out"), F.col("p_toxic").alias("score"),
+        F.col("is_toxic").alias("predicted"), "p_bad", "is_bad")
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
@@ -35,9 +55,11 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pairwise_quality": op1_pairwise_quality,
     "op2_mixing": op2_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity_chain": op8_toxicity_chain,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_language_id": op10_language_id,
 }
