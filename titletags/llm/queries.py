@@ -8,6 +8,7 @@ from titletags.llm import bpe, language_id, oracle, pairwise_quality, toxicity
 from titletags.llm.block_naming import exact_duplicates
 from titletags.llm.common import documents, id_remainder, labels
 from titletags.llm.mixing import mix
+from titletags.llm.pitman_yor import score_texts
 from titletags.llm.settings import MIXTURE, PATTERN, VOCABULARY, domain
 from titletags.llm.simhash import near_duplicates
 
@@ -31,6 +32,14 @@ def op6_byte_bpe(spark, sf_dir):
         documents(spark, sf_dir), VOCABULARY, PATTERN))
 
 
+def op7_pitman_yor_scores(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    scored = score_texts(docs, id_remainder(7) != 2)
+    held_out = id_remainder(7) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op8_toxicity_chain(spark, sf_dir):
     """Bad texts first, then toxic ones; `score` and `predicted` are about toxicity."""
     docs, held_out = documents(spark, sf_dir), id_remainder(5) == 0
@@ -59,6 +68,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_pitman_yor_scores": op7_pitman_yor_scores,
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_language_id": op10_language_id,
