@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from titletags.llm import bpe, language_id, oracle, pairwise_quality, toxicity
 from titletags.llm.block_naming import exact_duplicates
 from titletags.llm.common import documents, id_remainder, labels
+from titletags.llm.line_join import similar_lines
 from titletags.llm.mixing import mix
 from titletags.llm.pitman_yor import score_texts
+from titletags.llm.search import top_k
 from titletags.llm.settings import MIXTURE, PATTERN, VOCABULARY, domain
 from titletags.llm.simhash import near_duplicates
 
@@ -23,6 +25,16 @@ def op2_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir), domain(), MIXTURE)
 
 
+def op3_line_dedup(spark, sf_dir):
+    return similar_lines(documents(spark, sf_dir))
+
+
+def op4_block_max_search(spark, sf_dir):
+    """The ten best documents for every document whose id is divisible by 20."""
+    docs = documents(spark, sf_dir)
+    return top_k(docs, docs.filter(F.col("doc_id") % 20 == 0), k=10)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -66,6 +78,8 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op1_pairwise_quality": op1_pairwise_quality,
     "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_block_max_search": op4_block_max_search,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pitman_yor_scores": op7_pitman_yor_scores,
