@@ -1,0 +1,70 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import tiktoken
+
+from tests.llm.cases import TEXTS, nothing, tricky
+from titletags.llm.bpe import Tokenizer, digests, encoded_documents
+from titletags.llm.settings import PATTERN, VOCABULARY
+
+
+@pytest.fixture(scope="module")
+def own():
+    with open(VOCABULARY, "rb") as f:
+        return Tokenizer(f.read(), PATTERN)
+
+
+@pytest.fixture(scope="module")
+def library(own):
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+
+
+def ids(own, text):
+    return np.frombuffer(own.encode(text), "<u4").tolist()
+
+
+def test_random_texts(own, library):
+    draw = random.Random(7)
+    letters = "aaabbcdeest \n\t.,'12ßéñ漢字🙂  "
+    for _ in range(3000):
+        text = "".join(draw.choice(letters) for _ in range(draw.randrange(60)))
+        assert ids(own, text) == library.encode_ordinary(text)
+        assert own.decode(own.encode(text)) == text.encode()
+
+
+def test_a_long_piece(own, library):
+    draw = random.Random(8)
+    text = "".join(draw.choice("abcest") for _ in range(20_000))
+    assert ids(own, text) == library.encode_ordinary(text)
+
+
+def test_texts_in_parts(own, monkeypatch):
+    text = TEXTS[0][1] * 9
+    whole = own.encode(text)
+    monkeypatch.setattr("titletags.llm.bpe.AT_ONCE", 4)
+    assert own.encode(text) == whole
+
+
+def test_a_full_memory_changes_nothing(own, monkeypatch):
+    whole = [own.encode(row[1]) for row in TEXTS]
+    monkeypatch.setattr("titletags.llm.bpe.REMEMBERED", 3)
+    with open(VOCABULARY, "rb") as f:
+        small = Tokenizer(f.read(), PATTERN)
+    assert [small.encode(row[1]) for row in TEXTS] == whole
+
+
+def test_tricky_documents(spark, library):
+    want = []
+    for doc_id, text, *_ in TEXTS:
+        data = (text or "").encode()
+        tokens = np.array(library.encode_ordinary(text or ""), "<u4").tobytes()
+        want.append((doc_id, len(tokens) // 4, hashlib.sha256(tokens).hexdigest(),
+                     hashlib.sha256(data).hexdigest()))
+    got = digests(encoded_documents(tricky(spark), VOCABULARY, PATTERN)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_empty_table(spark):
+    assert encoded_documents(nothing(spark), VOCABULARY, PATTERN).count() == 0

@@ -1,0 +1,170 @@
+"""Line dedup, search and mixing against plain forms of them."""
+
+import math
+from collections import Counter, defaultdict
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.cases import TEXTS, nothing, table, tricky, words
+from titletags.llm import mixing
+from titletags.llm.line_join import prefix_length, similar_lines, without_lines
+from titletags.llm.search import top_k
+from titletags.llm.settings import MIXTURE, domain
+
+
+def brute_lines(texts):
+    """texts in their order: (lines, removed, links) per text."""
+    lines = [(d, i, frozenset(line.split()))
+             for d, t in enumerate(texts)
+             for i, line in enumerate((t or "").encode().lower().split(b"\n"))]
+    first = {}
+    for d, i, s in lines:
+        first.setdefault(s, (d, i))
+    sets = [s for s in first if s]
+    earliest, links = {}, Counter()
+    for s in sets:
+        near = [r for r in sets if r != s and 5 * len(s & r) >= 4 * len(s | r)]
+        links[s] = len(near)
+        earliest[s] = min([first[s], *(first[r] for r in near)])
+    out = [[0, [], 0] for _ in texts]
+    for d, i, s in lines:
+        out[d][0] += 1
+        if s:
+            out[d][2] += links[s]
+            if (d, i) > earliest[s]:
+                out[d][1].append(i)
+    return [tuple(x) for x in out]
+
+
+def test_similar_lines_of_documents(spark, sf_dir):
+    docs = table(spark, sf_dir)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = brute_lines([t for _, t in rows])
+    found = similar_lines(docs)
+    got = {r["doc_id"]: tuple(r)[1:] for r in found.collect()}
+    assert [got[i] for i, _ in rows] == want and len(got) == len(rows)
+    clean = {r["doc_id"]: r["text"] for r in without_lines(docs, found).collect()}
+    for (doc_id, text), (_, removed, _) in zip(rows, want):
+        left = [x for i, x in enumerate(text.split("\n")) if i not in removed]
+        assert clean[doc_id] == "\n".join(left)
+
+
+def test_similar_lines_of_tricky_documents(spark):
+    more = [(20 + i, "\n".join(" ".join(f"v{(i + j) % 23}" for j in range(n)) for n in (3, 4, 5, 19)),
+             "en", "src0") for i in range(25)]
+    texts = sorted([*TEXTS, *more], key=lambda r: (r[0] is not None, r[0] or 0))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    docs = docs.coalesce(1).withColumn("word", F.lit("clash"))
+    want = brute_lines([r[1] for r in texts])
+    got = similar_lines(docs).collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(
+        repr((row[0], *w)) for row, w in zip(texts, want))
+    assert similar_lines(nothing(spark)).count() == 0
+
+
+def test_prefixes_are_as_short_as_they_may_be():
+    for n in range(1, 60):
+        least = math.ceil(round(0.8 * n, 9))
+        assert prefix_length(n) == (n - least + 1 if n >= 4 else 0)
+
+
+def brute_search(docs, queries, k):
+    found = [Counter(words(t)) for _, t in docs]
+    n = len(docs)
+    rows = Counter(w for c in found for w in c)
+    mean = max(sum(c.total() for c in found), 1) / max(n, 1)
+    out = []
+    for q, text in queries:
+        scores = []
+        for (i, _), c in zip(docs, found):
+            norm = 1.2 * (0.25 + 0.75 * c.total() / mean)
+            s = sum(t * math.log(1 + (n - rows[w] + 0.5) / (rows[w] + 0.5)) * c[w] * 2.2
+                    / (c[w] + norm) for w, t in Counter(words(text)).items() if w in c)
+            if round(s, 9) > 0:
+                scores.append((-round(s, 6), i is None, i or 0, i))
+        out += [(q, r, x[3], -x[0]) for r, x in enumerate(sorted(scores)[:k], start=1)]
+    return out
+
+
+def searched(found):
+    return sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6))
+                  for r in found.collect())
+
+
+def test_search(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr("titletags.llm.search.TERMS_PER_BLOCK", 2000)
+    monkeypatch.setattr("titletags.llm.search.SHARD_DOCUMENTS", 70)
+    monkeypatch.setattr("titletags.llm.search.BLOCK_DOCUMENTS", 3)
+    docs = table(spark, sf_dir)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = searched(top_k(docs, docs.filter("doc_id % 20 = 0"), k=7))
+    want = brute_search(rows, [r for r in rows if r[0] % 20 == 0], 7)
+    assert [r[:2] + r[3:] for r in got] == [pytest.approx(r[:2] + r[3:]) for r in sorted(want)]
+    assert [r[2] for r in got] == [r[2] for r in sorted(want)]
+
+
+def test_search_in_tricky_documents(spark):
+    docs = tricky(spark)
+    queries = spark.createDataFrame(
+        [(1, "this is a TEST this"), (2, None), (3, ""), (4, "nowhere"), (5, "w1x1 twice")],
+        "item_id long, body string")
+    got = searched(top_k(docs, queries, k=3, query_id="item_id", query_text="body"))
+    want = brute_search([r[:2] for r in TEXTS], [(1, "this is a TEST this"), (5, "w1x1 twice")], 3)
+    assert [(q, r, s) for q, r, _, s in got] == [pytest.approx((q, r, s)) for q, r, _, s in want]
+    assert [r[2] for r in got if r[0] == 1] == [12, 1, 5]  # equal scores by id
+    assert top_k(nothing(spark), docs).count() == 0
+
+
+def brute_shares(budget, children):
+    """children: (room, weight); shares may be fractions."""
+    given, left = {}, dict(enumerate(children))
+    while left:
+        total = sum(w for _, w in left.values())
+        full = {i: r for i, (r, w) in left.items() if r * total <= w * budget}
+        if not full:
+            return {**given, **{i: w * budget / total for i, (_, w) in left.items()}}
+        i = min(full, key=lambda i: full[i] / left[i][1])
+        given[i] = full[i]
+        budget -= full[i]
+        del left[i]
+    return given
+
+
+@pytest.mark.parametrize("budget", [0, 10, 300, 905, 5000])
+def test_share_out(spark, budget):
+    children = [(100, 1), (100, 4), (7, 2), (900, 3), (0, 5), (50, 0)]
+    rows = [("p", f"c{i}", r, w, budget) for i, (r, w) in enumerate(children)]
+    nodes = spark.createDataFrame(rows, "p string, c string, _room long, _weight long, _budget long")
+    got = {int(r["c"][1:]): r["_given"] for r in mixing.share_out(nodes, ["p"], "c").collect()}
+    want = brute_shares(budget, children[:5])
+    assert got.pop(5) == 0
+    assert all(abs(got[i] - want[i]) < 1 for i in want)
+    assert sum(got.values()) == min(budget, 1107)
+
+
+def test_mix_reads_whole_epochs_and_a_prefix(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "DOCUMENTS_PER_BUCKET", 3)
+    rows = mixing.mix(table(spark, sf_dir), domain(), MIXTURE).collect()
+    leaves = defaultdict(list)
+    for r in rows:
+        leaves[r["domain"], r["lang"], r["source"]].append(r)
+    everything = sum(r["n_tokens"] for r in rows)
+    assert sum(r["tokens_taken"] for r in rows) == everything * 6 // 10
+    for own in leaves.values():
+        assert sum(r["tokens_taken"] for r in own) == own[0]["leaf_budget"]
+        partly = [r for r in own if 0 < r["last_epoch_tokens"] < r["n_tokens"]]
+        assert len(partly) <= 1 and max(r["epochs"] for r in own) <= 4
+
+
+def test_mix_of_tricky_documents(spark):
+    docs = tricky(spark)
+    got = mixing.mix(docs, domain(), MIXTURE)
+    assert got.count() == len(TEXTS)
+    assert {r["lang"] for r in got.filter("doc_id = 2").collect()} == {"(none)"}
+    kept = mixing.keep_mixed(docs, domain(), replace(MIXTURE, budget_parts=10, max_epochs=1))
+    assert kept.schema == docs.schema
+    # rows without tokens in leaves without tokens are read by no budget
+    assert kept.count() == sum(bool(words(r[1])) for r in TEXTS)
+    assert mixing.mix(nothing(spark), domain(), MIXTURE).count() == 0

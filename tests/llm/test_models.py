@@ -1,0 +1,217 @@
+"""Classifiers by held-out accuracy, the language model against counts by hand."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.cases import TEXTS, nothing, table, tricky, words
+from titletags.llm import language_id, pairwise_quality, pitman_yor, toxicity
+from titletags.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def remainder(doc_id, modulus):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus
+
+
+def test_languages_of_held_out_documents(spark):
+    truth = {r["doc_id"]: r["lang"] for r in table(spark, SF).collect()}
+    rows = QUERIES["op10_language_id"](spark, SF).collect()
+    assert len(rows) == len(truth)
+    assert all(r["held_out"] == (remainder(r["doc_id"], 4) == 2) for r in rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    kept = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in kept) >= 0.99 * len(kept)
+
+
+def test_languages_of_tricky_documents(spark):
+    docs = tricky(spark)
+    model = language_id.fit(docs)
+    assert model.languages == ["de", "en", "es", "fr", "xx"]
+    got = language_id.identify(docs, model).collect()
+    for row, (doc_id, text, *_) in zip(got, TEXTS):
+        assert row["doc_id"] == doc_id
+        silent = text is None or not any(c.isalpha() for c in text)
+        assert (row["lang_pred"] == "und") == silent and (row["score"] == 0) == silent
+    kept = language_id.keep_identified(docs, model, lowest_score=0.0)
+    assert kept.schema == docs.schema and kept.count() == 10
+    none = language_id.fit(nothing(spark))
+    assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
+    assert language_id.identify(nothing(spark), none).count() == 0
+
+
+def test_ngrams_do_not_depend_on_parts(monkeypatch):
+    text = "Ünd so weiter, 12 mal ganz so!"
+    whole = language_id.ngram_counts(text)
+    assert whole.sum() == 3 * (len(text) + 2) - 3
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(language_id, "CHARS_AT_ONCE", size)
+        assert (language_id.ngram_counts(text) == whole).all()
+
+
+def test_quality_of_held_out_documents(spark):
+    truth = {r["doc_id"]: r["quality"] for r in table(spark, SF, "labels").collect()}
+    rows = QUERIES["op1_pairwise_quality"](spark, SF).collect()
+    assert all(r["held_out"] == (remainder(r["doc_id"], 5) == 0) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    kept = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in kept) >= 0.95 * len(kept)
+
+
+def test_quality_of_tricky_documents(spark):
+    docs = tricky(spark)
+    marks = spark.createDataFrame([(1, 1), (7, 1), (10, 0), (9, None), (None, 1)],
+                                  "doc_id long, quality int")
+    model = pairwise_quality.fit(docs, marks)
+    got = {r["doc_id"]: r for r in pairwise_quality.score_quality(docs, model).collect()}
+    assert got[10]["score"] < got[1]["score"] and all(0 <= r["score"] <= 1 for r in got.values())
+    one_kind = pairwise_quality.fit(docs, marks.filter("quality = 1"))
+    good = pairwise_quality.score_quality(docs, one_kind)
+    assert {r["predicted"] for r in good.collect()} == {1} and good.count() == len(TEXTS)
+    assert pairwise_quality.score_quality(nothing(spark), model).count() == 0
+
+
+def test_pairs_find_the_preferred_direction():
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(2000, 3))
+    good = x @ [2.0, -1.0, 0.0] + draw.logistic(size=2000) > 1.5
+    model = pairwise_quality.fit_pairs(x, good)
+    assert model.weights[0] > 1 and model.weights[1] < -0.5 and abs(model.weights[2]) < 0.3
+    assert abs((model.score(x) >= pairwise_quality.CUT).mean() - good.mean()) < 0.01
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in table(spark, sf, "labels").collect()}
+    rows = QUERIES["op8_toxicity_chain"](spark, sf).collect()
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    kept = [(r["predicted"], truth[r["doc_id"]]) for r in rows
+            if r["held_out"] and r["doc_id"] in truth]
+    hits = kept.count((1, 1))
+    assert hits >= 0.9 * sum(t for _, t in kept) and hits >= 0.9 * sum(p for p, _ in kept)
+
+
+def test_toxicity_of_tricky_documents(spark):
+    docs = tricky(spark)
+    marks = spark.createDataFrame([(1, 0, 1), (12, 0, 1), (7, 1, 0), (9, None, 1)],
+                                  "doc_id long, bad int, toxic int")
+    chain = toxicity.fit(docs, marks, ["bad", "toxic"])
+    got = toxicity.score_toxicity(docs, chain)
+    assert got.columns == ["doc_id", "p_bad", "is_bad", "p_toxic", "is_toxic"]
+    assert got.count() == len(TEXTS)
+    none = toxicity.fit(docs, marks.filter("false"), ["toxic"])
+    assert {r["is_toxic"] for r in toxicity.score_toxicity(docs, none).collect()} == {0}
+    assert toxicity.score_toxicity(nothing(spark), chain).count() == 0
+
+
+def test_later_models_learn_from_unseen_predictions():
+    draw = np.random.default_rng(2)
+    features = [np.sort(draw.choice(5000, 20, replace=False)) for _ in range(300)]
+    first = np.array([bool(set(f) & set(range(100))) for f in features])
+    chain = toxicity.fit_chain(features, np.column_stack([first, first]), ["a", "b"])
+    assert len(chain.weights[1]) == toxicity.BUCKETS + 2
+    assert chain.weights[1][toxicity.BUCKETS] >= 0
+
+
+def brute_base(texts, learn):
+    counts = Counter()
+    for doc_id, text in texts:
+        if learn(doc_id):
+            counts.update(words(text))
+            counts[None] += 1
+    n, v = sum(counts.values()), len(counts)
+    out = []
+    for doc_id, text in texts:
+        tokens = [*words(text), None]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)
+        out.append((doc_id, len(tokens), sum(counts[w] > 0 for w in tokens), n, base))
+    return out
+
+
+def same_scores(got, want):
+    def key(r):
+        return (r[0] is None, r[0] or 0, r[1], r[4])
+
+    got = sorted((tuple(r) for r in got), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:4] == w[:4] and g[4] == pytest.approx(w[4], rel=1e-9)
+        assert g[5] < 0 or w[3] == 0
+
+
+@pytest.mark.parametrize("lookup", [4, 1 << 18])
+def test_language_model_scores(spark, sf_dir, monkeypatch, lookup):
+    monkeypatch.setattr(pitman_yor, "LOOKUP", lookup)
+    monkeypatch.setattr(pitman_yor, "HEAD", min(lookup, pitman_yor.HEAD))
+    docs = table(spark, sf_dir)
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    got = pitman_yor.score_texts(docs, learn).collect()
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    same_scores(got, brute_base(texts, lambda i: remainder(i, 7) != 2))
+    unseen = [r for r in got if remainder(r["doc_id"], 7) == 2]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
+def test_language_model_on_tricky_documents(spark):
+    texts = [row[:2] for row in TEXTS]
+    learn = F.coalesce(F.col("doc_id"), F.lit(0)) != 7
+    got = pitman_yor.score_texts(tricky(spark), learn).collect()
+    same_scores(got, brute_base(texts, lambda i: i != 7))
+    none = pitman_yor.score_texts(tricky(spark), F.lit(False)).collect()
+    assert len(none) == len(TEXTS) and all(math.isfinite(r["score"]) for r in none)
+    assert pitman_yor.score_texts(nothing(spark), F.lit(True)).count() == 0
+
+
+def test_transitions_are_probabilities():
+    counts = np.random.default_rng(3).poisson(2.0, (9, 9)) * np.arange(9)[:, None]
+    p = pitman_yor.transition_probabilities(counts)
+    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+
+
+def test_words_of_a_class_are_probabilities():
+    counts = np.array([5, 3, 1, 1])
+    n, types = np.zeros(16, int), np.zeros(16, int)
+    n[2], types[2] = counts.sum(), len(counts)
+    model = pitman_yor.LanguageModel([], np.zeros(0), 0, 1, 11, 5, n, types, np.full(16, 0.4))
+    at = np.full(5, 2)
+    assert (10 ** model.log_within(at, np.append(counts, 0))).sum() == pytest.approx(1)
+
+
+def test_seatings_have_the_exact_distribution():
+    """Tables of 5 customers: weight of a seating is a^t times (1 - d) rising per table."""
+    c, a, d = 5, 0.8, 0.3
+
+    def seatings(sizes, left):
+        if not left:
+            weight = a ** len(sizes)
+            for size in sizes:
+                for i in range(1, size):
+                    weight *= i - d
+            yield len(sizes), weight
+            return
+        for k in range(len(sizes)):
+            yield from seatings([*sizes[:k], sizes[k] + 1, *sizes[k + 1:]], left - 1)
+        yield from seatings([*sizes, 1], left - 1)
+
+    exact = np.zeros(c + 1)
+    for t, weight in seatings([1], c - 1):
+        exact[t] += weight
+    exact /= exact.sum()
+    rng = np.random.default_rng(4)
+    n = 4000
+    customers, weights = np.full(n, c), np.full(n, a)
+    seating, found = None, np.zeros(c + 1)
+    for step in range(40):
+        seating = pitman_yor.reseat(seating, customers, weights, d, rng)
+        if step >= 8:
+            found += np.bincount(seating.tables(n), minlength=c + 1)
+    assert np.abs(found / found.sum() - exact).max() < 0.01
+
+
+def test_log_gamma():
+    x = np.array([0.05, 0.5, 1, 3.7, 20, 1e6])
+    assert np.allclose(pitman_yor.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-8)
