@@ -156,13 +156,25 @@ class Codec:
             for ids in batches:
                 yield _series(map(tokenizer.decode, ids))
 
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            tokenizer = _tokenizer(shared.value, pattern)
+            for texts in batches:
+                ids = [tokenizer.encode(text) for text in texts]
+                yield pd.DataFrame({"ids": ids, "decoded": [tokenizer.decode(i) for i in ids]})
+
         self._encode = F.pandas_udf(encoded, "binary")
         self._decode = F.pandas_udf(decoded, "binary")
+        self._both = F.pandas_udf(both, "ids binary, decoded binary")
 
     def encode(self, text: Column) -> Column:
         """Ids of a text as a binary column; null and empty texts have no ids."""
         return self._encode(text)
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct (ids, decoded): the ids, and the bytes that they decode to. One Python
+        worker does both, where two columns would take two of them."""
+        return self._both(text)
+
     def decode(self, ids: Column) -> Column:
         """Bytes of the text that the ids stand for."""
         return self._decode(ids)
@@ -181,11 +193,10 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "d
     gives an empty table; other columns are not read.
     """
     codec = Codec(docs.sparkSession, path, pattern)
-    ids = docs.select(F.col(doc_id).alias("doc_id"), codec.encode(F.col(text)).alias("ids"))
-    return ids.select(
-        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-        codec.decode(F.col("ids")).alias("decoded"),
-    )
+    done = docs.select(F.col(doc_id).alias("doc_id"), codec.round_trip(F.col(text)).alias("_done"))
+    ids = F.col("_done.ids")
+    return done.select("doc_id", (F.length(ids) / 4).cast("long").alias("n_tokens"), ids,
+                       "_done.decoded")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
