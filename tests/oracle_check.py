@@ -40,10 +40,11 @@ def difference(con: duckdb.DuckDBPyConnection, rows, sql: str) -> str | None:
 
 
 def main(sf_dir: str, names: list[str]) -> int:
-    from titletags.plans.oracle import ORACLE
-    from titletags.plans.queries import QUERIES
+    from __spark_entry__ import oracle_sql, queries
     from titletags.session import local_session
 
+    ORACLE, QUERIES = oracle_sql(), queries()
+
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

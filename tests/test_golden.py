@@ -3,12 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plain import forward_fill_single
 from titletags.functions import arrays
 from titletags.functions.labels import N_LABELS, label_rows
 from titletags.functions.text import char_pieces, split_words
 from titletags.operators import batches, compare, ensemble, metrics, pieces
 from titletags.operators import sequences as seqs
-from titletags.operators.fill import forward_fill, forward_fill_single
+from titletags.operators.fill import forward_fill
 from titletags.operators.ordered import long_records
 from titletags.operators.spans import decode_spans
 

@@ -6,10 +6,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.plain import forward_fill_single
 from titletags.functions.labels import N_LABELS, label_rows
 from titletags.operators import batches, compare, folds, metrics
 from titletags.operators import sequences as seqs
-from titletags.operators.fill import forward_fill, forward_fill_single
+from titletags.operators.fill import forward_fill
 from titletags.operators.ordered import long_records, number_rows, range_chunk
 from titletags.operators.spans import decode_spans
 from titletags.plans import fixtures as fx

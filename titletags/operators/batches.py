@@ -20,10 +20,13 @@ def batches_in_order(rows: DataFrame, order: str, size: int = BATCH_SIZE,
 
 def batches_shuffled(rows: DataFrame, seed: int, record: str = "record_number",
                      size: int = BATCH_SIZE) -> DataFrame:
-    """Cut rows in a seeded random order of the unique column `record`."""
-    keyed = rows.withColumn("_digest", shuffle_key(seed, F.col(record)))
-    numbered = number_rows(keyed, ["_digest", record], digest_chunk(F.col("_digest")), out="_n")
-    return _cut(numbered, size).drop("_n", "_digest")
+    """Cut rows in a seeded random order of the unique column `record`.
+
+    Only the keys are numbered; give a written table where rows are costly to make.
+    """
+    keys = rows.select(record).withColumn("_digest", shuffle_key(seed, F.col(record)))
+    numbered = number_rows(keys, ["_digest", record], digest_chunk(F.col("_digest"), rows), out="_n")
+    return rows.join(_cut(numbered, size).drop("_n", "_digest"), record)
 
 
 def _cut(numbered: DataFrame, size: int) -> DataFrame:
@@ -57,18 +60,21 @@ def cycle_batches(rows: DataFrame, num_steps: int, seed: int, record: str = "rec
                   size: int = BATCH_SIZE) -> DataFrame:
     """Exactly `num_steps` batches, `step` 0 onwards, reshuffled on each new pass.
 
-    Pass i orders the rows by seed + i. Rows are repeated once per pass that is
-    begun; the number of batches in a pass is a scalar subquery.
+    Pass i orders the rows by seed + i. Keys are repeated once per pass that is begun,
+    rows only for the batches that are kept; the number of batches in a pass is a scalar
+    subquery.
     """
     per_pass = rows.agg(F.ceil(F.count("*") / size).cast("long").alias("n")).scalar()
     passes = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(num_steps) - 1) / per_pass))
-    repeated = rows.withColumn("per_pass", per_pass).withColumn("pass_no", F.explode(passes))
+    keys = rows.select(record).withColumn("per_pass", per_pass)
+    repeated = keys.withColumn("pass_no", F.explode(passes))
     digest = F.md5(F.concat_ws(":", F.lit(seed) + F.col("pass_no"), F.col(record)))
     numbered = number_rows(
         repeated.withColumn("_digest", digest), ["_digest", record],
-        digest_chunk(F.col("_digest")), keys=["pass_no"], out="_n",
+        digest_chunk(F.col("_digest"), rows), keys=["pass_no"], out="_n",
     )
     steps = _cut(numbered, size).withColumn(
         "step", F.col("pass_no") * F.col("per_pass") + F.col("batch_id")
     )
-    return steps.filter(F.col("step") < num_steps).drop("_n", "_digest", "per_pass")
+    kept = steps.filter(F.col("step") < num_steps).drop("_n", "_digest", "per_pass")
+    return rows.join(kept, record)

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titletags.functions.labels import as_inner
-from titletags.operators.ordered import PRECEDING, ROWS_PER_CHUNK, TO_CURRENT, range_chunk
+from titletags.operators.ordered import (
+    PRECEDING,
+    ROWS_PER_CHUNK,
+    TO_CURRENT,
+    join_on,
+    range_chunk,
+)
 
 
 def forward_fill(
@@ -24,7 +30,8 @@ def forward_fill(
     With `inner`, a filled row continues that tag: it gets the inner label. By
     default the fill runs over the whole table and crosses records, as the files
     mean it; `partition_by` restarts it per group. Rows above the first tag stay
-    missing. The order is worked off in chunks (see `ordered`).
+    missing. A NULL key is a group of its own; a row without a place in the order passes
+    nothing on. The order is worked off in chunks (see `ordered`).
     """
     cell = [*partition_by, "_chunk"]
     rows = df.withColumn("_chunk", range_chunk(F.col(order), rows_per_chunk))
@@ -38,17 +45,7 @@ def forward_fill(
     above = F.coalesce(F.col("_above"), F.col("_carry"))
     filled = as_inner(above) if inner else above
     return (
-        rows.withColumn("_above", F.last(tag, ignorenulls=True).over(inside))
-        .join(carried, cell)
+        join_on(rows.withColumn("_above", F.last(tag, ignorenulls=True).over(inside)), carried, cell)
         .withColumn(tag, F.coalesce(F.col(tag), filled))
         .select(*df.columns)
     )
-
-
-def forward_fill_single(
-    df: DataFrame, tag: str = "tag", order: str = "row_idx", inner: bool = False
-) -> DataFrame:
-    """The same fill as one global window: quicker for small tables, but one task."""
-    w = Window.orderBy(order).rowsBetween(*TO_CURRENT)
-    above = F.last(tag, ignorenulls=True).over(w)
-    return df.withColumn(tag, F.coalesce(F.col(tag), as_inner(above) if inner else above))

@@ -45,7 +45,8 @@ def strata(record_labels: DataFrame, seed: int = SEED, record: str = "record_num
         .withColumn("_digest", shuffle_key(seed, F.col(record)))
     )
     return number_rows(
-        rarest, ["_digest", record], digest_chunk(F.col("_digest")), keys=["stratum"], out="rank"
+        rarest, ["_digest", record], digest_chunk(F.col("_digest"), rarest), keys=["stratum"],
+        out="rank",
     ).drop("_digest")
 
 

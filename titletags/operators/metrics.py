@@ -30,6 +30,26 @@ def pair_predictions(truth: DataFrame, predicted: DataFrame,
     return truth.join(predicted, list(on))
 
 
+def prediction_check(truth: DataFrame, predicted: DataFrame, record: str = "record_number",
+                     pos: str = "pos") -> DataFrame:
+    """Positions of each record in the truth and in the predictions, how many of them have
+    no counterpart, and a verdict."""
+    left = truth.select(record, pos, F.lit(1).alias("_t"))
+    right = predicted.select(record, pos, F.lit(1).alias("_p"))
+    unpaired = F.col("_t").isNull() | F.col("_p").isNull()
+    counts = (
+        left.join(right, [record, pos], "full_outer").groupBy(record)
+        .agg(F.count("_t").alias("n_truth"), F.count("_p").alias("n_predicted"),
+             F.count(F.when(unpaired, 1)).alias("n_unpaired"),
+             F.count(F.when(F.col("_p").isNull(), 1)).alias("_missing"))
+    )
+    return counts.select(
+        record, "n_truth", "n_predicted", "n_unpaired",
+        F.when(F.col("_missing") > 0, "positions without a prediction")
+        .when(F.col("n_unpaired") > 0, "predictions left over").alias("problem"),
+    )
+
+
 def confusion(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = (),
               weight: Column | None = None) -> DataFrame:
     n = F.count("*") if weight is None else F.sum(weight)
@@ -66,7 +86,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def _weighted() -> Column:
-    return F.sum(F.col("f1") * F.col("support")) / F.sum("support")
+    return F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support"))
 
 
 def _grouped(report: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
@@ -83,14 +103,14 @@ def f1_macro(report: DataFrame, keys: Sequence[str] = (), out: str = "f1") -> Da
 
 
 def f1_micro(report: DataFrame, keys: Sequence[str] = (), out: str = "f1") -> DataFrame:
-    return _grouped(report, keys, F.sum("tp") / F.sum("support"), out)
+    return _grouped(report, keys, F.try_divide(F.sum("tp"), F.sum("support")), out)
 
 
 def f1_aspects(report: DataFrame, keys: Sequence[str] = (), out: str = "f1") -> DataFrame:
     """Weighted F1 over aspect labels only.
 
     Words that are no aspect but predicted as one still count as false positives
-    of that aspect; labels without support have weight 0.
+    of that aspect; labels without support have weight 0. NULL if no aspect has any.
     """
     return _grouped(report.filter(F.col("label_id") >= FIRST_ASPECT_ID), keys, _weighted(), out)
 

@@ -10,6 +10,8 @@ with the data: adaptive execution sees its true size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +29,18 @@ def range_chunk(order: Column, rows: int = ROWS_PER_CHUNK) -> Column:
     return F.call_function("div", order, F.lit(rows))
 
 
-def digest_chunk(digest: Column, digits: int = 3) -> Column:
-    """Chunk of a hex digest: its leading digits, evenly filled and at most 16**digits."""
-    return F.substring(digest, 1, digits)
+def digest_chunk(digest: Column, rows: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> Column:
+    """Chunk of a hex digest: as many leading digits as leave `rows_per_chunk` of `rows`
+    at most in a chunk, on average. The rows are counted where the column is used."""
+    digits = F.ceil(F.log(F.greatest(F.count("*"), F.lit(1)) / rows_per_chunk) / F.log(F.lit(16.0)))
+    return F.substring(digest, F.lit(1), rows.agg(F.greatest(digits, F.lit(0)).cast("int")).scalar())
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join that matches NULL with NULL."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [left[k].eqNullSafe(right[f"_right_{k}"]) for k in keys])
+    return left.join(right, same).drop(*[f"_right_{k}" for k in keys])
 
 
 def running_total(
@@ -48,8 +59,7 @@ def running_total(
     offsets = sums.select(*cell, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(*TO_CURRENT)
     return (
-        rows.withColumn(out, F.sum("_value").over(inside))
-        .join(offsets, cell)
+        join_on(rows.withColumn(out, F.sum("_value").over(inside)), offsets, cell)
         .withColumn(out, F.col(out) + F.col("_before"))
         .drop("_chunk", "_value", "_before")
     )
@@ -80,6 +90,5 @@ def long_records(words: DataFrame, record: str = "record_number", pos: str = "po
 
 def split_long(words: DataFrame, long: DataFrame, record: str = "record_number"
                ) -> tuple[DataFrame, DataFrame]:
-    """Words of ordinary and of long records. The list's size bound allows the broadcast."""
-    ids = F.broadcast(long)
-    return words.join(ids, record, "left_anti"), words.join(ids, record, "left_semi")
+    """Words of ordinary and of long records."""
+    return words.join(long, record, "left_anti"), words.join(long, record, "left_semi")

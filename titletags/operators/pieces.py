@@ -53,6 +53,14 @@ def align_words(words: DataFrame, label_id: str = "label_id", piece_ids: str = "
     return exploded.withColumn(label_id, F.when(carries, F.col("_label"))).drop("_label")
 
 
+def piece_check(words: DataFrame, record: str = "record_number",
+                piece_ids: str = "piece_ids") -> DataFrame:
+    """Words per record, and those the tokenizer gave no piece for."""
+    without = F.coalesce(F.size(piece_ids), F.lit(0)) <= 0
+    return words.groupBy(record).agg(
+        F.count("*").alias("n_words"), F.count(F.when(without, 1)).alias("n_without"))
+
+
 def align_sequences(sequences: DataFrame, cls_id: int = CLS_ID, sep_id: int = SEP_ID) -> DataFrame:
     """Piece ids and labels of whole sequences, with sentinels at both ends.
 

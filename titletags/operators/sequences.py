@@ -14,10 +14,6 @@ from titletags.operators.ordered import (
     split_long,
 )
 
-# A record longer than this becomes several sequence rows, so that no group or
-# cell grows without bound; an ordinary title is part 0 and nothing else.
-PART_WORDS = 1 << 16
-
 
 def title_words(
     titles: DataFrame, title: str = "title", keep: tuple[str, ...] = ("record_number",)
@@ -47,16 +43,19 @@ def word_sequences(
     values: Column | None = None,
     record: str = "record_number",
     pos: str = "pos",
-    part_words: int = PART_WORDS,
+    part_words: int | None = None,
 ) -> DataFrame:
     """The words of a record as one ordered array of structs, `seq`.
 
     Each struct starts with the position; `values` is a struct of the other
-    fields (default: token and tag).
+    fields (default: token and tag). A record is one row, part 0, whatever its length;
+    with `part_words` it becomes a row per so many positions, told apart by `part`, for
+    uses that can do with pieces of a record.
     """
     values = F.struct("token", "tag") if values is None else values
+    part = F.lit(0) if part_words is None else F.call_function("div", F.col(pos), F.lit(part_words))
     return (
-        words.withColumn("part", F.call_function("div", F.col(pos), F.lit(part_words)).cast("int"))
+        words.withColumn("part", part.cast("int"))
         .groupBy(record, "part")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), values.alias("v"))))
              .alias("seq"))
@@ -73,14 +72,12 @@ def dense_positions(
 ) -> DataFrame:
     """0-based position of each word in its record, from any unique integer order.
 
-    Records with more than HOT_ROWS words are found by count (at most one per
-    HOT_ROWS input rows, hence the broadcast) and numbered chunk by chunk.
+    Records with more than HOT_ROWS words are found by count, at most one per HOT_ROWS
+    input rows, and numbered chunk by chunk.
     """
     rows = words.drop(out) if out != order else words.withColumnRenamed(order, "_order")
     by = order if out != order else "_order"
-    hot = F.broadcast(
-        words.groupBy(record).count().filter(F.col("count") > HOT_ROWS).select(record)
-    )
+    hot = words.groupBy(record).count().filter(F.col("count") > HOT_ROWS).select(record)
     w = Window.partitionBy(record).orderBy(by)
     plain = rows.join(hot, record, "left_anti").withColumn(
         out, (F.row_number().over(w) - 1).cast("long")

@@ -6,7 +6,7 @@ type and size; see FIXTURES.md for the SQL form of each table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titletags.functions.labels import N_LABELS
@@ -21,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record with the fields its title is made of."""
+    """One row per order line with the fields its title is made of. Lines may share order
+    and line number, so they are numbered within these."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    within = Window.partitionBy("_line").orderBy(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_number"))
-        .agg(F.min("l_partkey").alias("p_partkey"))
+        table(spark, sf_dir, "lineitem").withColumn("_line", line)
+        .select((F.col("_line") * 16 + F.row_number().over(within) - 1).alias("record_number"),
+                F.col("l_partkey").alias("p_partkey"))
     )
     name = F.split("p_name", " ")
     part = table(spark, sf_dir, "part").select(
@@ -42,7 +46,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = [
         (F.col("p_brand"), first),
         (F.col("w1"), F.when(F.col("w1").isin(*color), "Farbe").otherwise("Modell")),
-        (F.col("w2"), F.when(F.col("w2").isin(*color), "Modell")),
+        (F.col("w2"), F.when(F.col("w1").isin(*color), "Modell")),
         (F.col("p_type"), F.lit("Produktart")),
         (F.lit("Gr."), F.lit("No Tag")),
         (F.lit("EU"), F.lit(None).cast("string")),

@@ -21,8 +21,10 @@ VIEWS = {
     "v_rec": """
         select x.rn as record_number, p_brand, split_part(p_name,' ',1) as w1,
                split_part(p_name,' ',2) as w2, p_type, p_size
-        from (select l_orderkey*10+l_linenumber as rn, min(l_partkey) as pk
-              from lineitem group by l_orderkey*10+l_linenumber) x
+        from (select (l_orderkey*10+l_linenumber)*16 + row_number() over (
+                       partition by l_orderkey*10+l_linenumber
+                       order by l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as rn,
+                     l_partkey as pk from lineitem) x
         join part on x.pk = p_partkey""",
     "v_tagged": """
         select record_number, pos, token, tag, record_number*16+pos as row_idx from (
@@ -31,7 +33,7 @@ VIEWS = {
           union all select record_number, 1, w1,
                  case when w1 in ('red','blue') then 'Farbe' else 'Modell' end from v_rec
           union all select record_number, 2, w2,
-                 case when w2 in ('red','blue') then 'Modell' else null end from v_rec
+                 case when w1 in ('red','blue') then 'Modell' else null end from v_rec
           union all select record_number, 3, p_type, 'Produktart' from v_rec
           union all select record_number, 4, 'Gr.', 'No Tag' from v_rec
           union all select record_number, 5, 'EU', null from v_rec where p_size%2=0
@@ -108,29 +110,6 @@ VIEWS = {
         from (select a.*, n//32 as batch_id, (n%32)::int as slot,
                      max(len(ids)) over (partition by n//32) as mx
               from v_aligned a join v_shuffled using (record_number)) t""",
-    "v_reclab": """
-        select record_number, y as label_id, count(*) as n_words from v_gold group by all""",
-    "v_rarity": """
-        select label_id, n_records,
-               (row_number() over (order by n_records, label_id) - 1)::int as rarity
-        from (select label_id, count(*) as n_records from v_reclab group by label_id) t""",
-    "v_folds": """
-        select record_number, stratum, ((row_number() over (partition by stratum
-                 order by md5('42:' || record_number), record_number) - 1) % 5)::int as fold
-        from (select record_number, min(rarity) as stratum
-              from v_reclab join v_rarity using (label_id) group by record_number) t""",
-    "v_dist": f"""
-        select fold, label_id,
-               (sum(n_test) over (partition by label_id) - n_test)::bigint as n_train,
-               n_test::bigint as n_test
-        from (select f.fold, d.label_id, coalesce(sum(n_words), 0)::bigint as n_test
-              from (select unnest(range(0, 5))::int as fold) f
-              cross join (select label_id from dim
-                          where label in ({", ".join(f"'{t}'" for t in TAGS_OF_INTEREST)})) d
-              left join (select fold, label_id, n_words from v_folds
-                         join v_reclab using (record_number)) w
-                on w.fold = f.fold and w.label_id = d.label_id
-              group by f.fold, d.label_id) t""",
     "v_epochs": """
         select record_number%5 as fold, epoch, y,
                case (record_number*(epoch+7)+pos*3)%10 when 0 then 0 when 1 then (y+1)%70
@@ -150,6 +129,43 @@ VIEWS = {
 }
 
 
+def _fold_views(gold: str, suffix: str = "") -> dict[str, str]:
+    """Labels per record, rarity, folds and their distribution of a labelled word table."""
+    wanted = ", ".join(f"'{t}'" for t in TAGS_OF_INTEREST)
+    reclab, rarity, folds = (f"v_{name}{suffix}" for name in ("reclab", "rarity", "folds"))
+    return {
+        reclab: f"""
+            select record_number, y as label_id, count(*) as n_words from {gold} group by all""",
+        rarity: f"""
+            select label_id, n_records,
+                   (row_number() over (order by n_records, label_id) - 1)::int as rarity
+            from (select label_id, count(*) as n_records from {reclab} group by label_id) t""",
+        folds: f"""
+            select record_number, stratum, ((row_number() over (partition by stratum
+                     order by md5('42:' || record_number), record_number) - 1) % 5)::int as fold
+            from (select record_number, min(rarity) as stratum
+                  from {reclab} join {rarity} using (label_id) group by record_number) t""",
+        f"v_dist{suffix}": f"""
+            select fold, label_id,
+                   (sum(n_test) over (partition by label_id) - n_test)::bigint as n_train,
+                   n_test::bigint as n_test
+            from (select f.fold, d.label_id, coalesce(sum(n_words), 0)::bigint as n_test
+                  from (select unnest(range(0, 5))::int as fold) f
+                  cross join (select label_id from dim where label in ({wanted})) d
+                  left join (select fold, label_id, n_words from {folds}
+                             join {reclab} using (record_number)) w
+                    on w.fold = f.fold and w.label_id = d.label_id
+                  group by f.fold, d.label_id) t""",
+    }
+
+
+VIEWS |= _fold_views("v_gold")
+VIEWS["v_plain_gold"] = """
+    select record_number, pos, token, tag, label_id as y
+    from v_plain join dim on tag = label"""
+VIEWS |= _fold_views("v_plain_gold", "_plain")
+
+
 def _spans(words: str) -> str:
     """Spans of a relation (record_number, pos, token, label)."""
     return f"""
@@ -220,13 +236,13 @@ STATEMENTS = {
                as row_idx from v_tagged {_TITLE}""",
     "read_titles_file": """
         select *, row_number() over (order by record_number) - 1 as row_idx from v_titles""",
-    "read_unlabeled_file": "select * from v_titles where record_number > 30000",
+    "read_unlabeled_file": "select * from v_titles where record_number > 120000",
     "read_output_lines": _lines("v_spans"),
     "write_spans_file": "select record_number, aspect, value from v_spans",
     "head_rows": "select * from v_tagged order by row_idx limit 16",
     "count_rows": "select count(*) as n from v_tagged",
     "project_words": "select record_number, token, tag from v_tagged",
-    "records_above": "select * from v_titles where record_number > 30000",
+    "records_above": "select * from v_titles where record_number > 120000",
     "labelled_positions": """
         select record_number, pos, piece_no, y from v_pieces where piece_no = 0""",
     "aspect_word_rows": """
@@ -395,8 +411,8 @@ STATEMENTS = {
               from v_titles
               cross join (select unnest(range(0, 3)) as pass_no) p
               cross join (select (count(*)+31)//32 as nb from v_titles
-                          where record_number > 30000) c
-              where record_number > 30000) t
+                          where record_number > 120000) c
+              where record_number > 120000) t
         where pass_no*nb + n//32 < nb*5//2""",
     "stratified_folds": "select * from v_folds",
     "label_rarity": "select * from v_rarity",
@@ -428,4 +444,65 @@ STATEMENTS = {
         select lang, source, count(*) as n from v_doc where quality is null group by all""",
 }
 
+# What is certain of fitted models and of folds that are not unique.
+STATEMENTS |= {
+    "fold_distribution_plain": """
+        select fold, label, n_train, n_test from v_dist_plain join dim using (label_id)""",
+    "best_label_logits": """
+        select record_number, pos, label_id
+        from (select record_number, pos, label_id, round(sum(logit - 6)/6, 9) as score
+              from v_logits group by all) t
+        qualify row_number() over (partition by record_number, pos
+                                   order by score desc, label_id) = 1""",
+    "f1_without_aspects": "select cast(null as double) as f1",
+    "prediction_check": """
+        select record_number, count(y) as n_truth, count(p) as n_predicted,
+               count_if(y is null or p is null)::bigint as n_unpaired,
+               case when count_if(p is null) > 0 then 'positions without a prediction'
+                    when count_if(y is null) > 0 then 'predictions left over' end as problem
+        from (select record_number, pos, y, case when record_number % 7 = 0 and pos = 3
+                       then null else p end as p from v_pred
+              union all
+              select record_number, 99, null, 0 from v_pred
+              where record_number % 5 = 0 and pos = 4) t
+        group by record_number""",
+    "piece_check": """
+        select record_number, count(*) as n_words,
+               count_if(regexp_replace(token, '[^A-Za-z]', '', 'g') = '')::bigint as n_without
+        from v_tagged group by record_number""",
+    "pseudo_labels_all_pieces": """
+        select record_number, '- ' || string_agg(p::varchar, ' ' order by pos, piece_no) || ' -'
+                 as preds
+        from (select record_number, pos, piece_no from v_pieces) x
+        join (select record_number, pos, p from v_pred) y using (record_number, pos)
+        group by record_number""",
+    "tagger_evaluation_support": """
+        select y as label_id, count(*) as support from v_gold join v_folds using (record_number)
+        where fold = 0 group by y""",
+    "tagger_cross_validation_better": """
+        select fold, round, 1 as better from (select unnest(range(0, 5))::int as fold) f
+        cross join (select unnest(range(0, 2))::int as round) r""",
+    "saved_tagger_agreement": """
+        select count(*) as n_words, count(*) as n_agree
+        from v_gold join v_folds using (record_number) where fold = 0""",
+    "infer_titles_word_balance": """
+        select count(*) as n_titles, 0::bigint as difference from v_titles""",
+    "infer_titles_ensemble_word_balance": """
+        select count(*) as n_titles, 0::bigint as difference from v_titles""",
+    "pseudo_label_words": """
+        select record_number, (i-1)::int as pos, words[i] as token, 1 as in_range
+        from (select record_number, string_split_regex(title, '\\s+') as words from v_titles
+              where record_number > 120000) w,
+             lateral (select unnest(range(1, len(words)+1)) as i) r""",
+    "self_training_rounds": """
+        select round, case when round = 0 then 0 else n end::bigint as n_pseudo
+        from (select unnest(range(0, 3))::int as round) r
+        cross join (select sum(len(string_split_regex(title, '\\s+'))) as n from v_titles
+                    where record_number > 120000) w""",
+    "quota_folds_once": """
+        select record_number, 1 as n_folds, 1 as in_range from v_reclab group by record_number""",
+    "quota_fold_totals": """
+        select label_id, n_records, 1 as is_even from v_rarity""",
+}
+
 ORACLE = {name: with_views(sql) for name, sql in STATEMENTS.items()}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from titletags.functions import arrays
 from titletags.functions.labels import (
+    FIRST_ASPECT_ID,
     TAGS_OF_INTEREST,
     as_inner,
     is_inner,
@@ -21,7 +22,7 @@ from titletags.functions.labels import (
     label_rows,
     strip_inner,
 )
-from titletags.functions.text import shuffle_key
+from titletags.functions.text import CLS_ID, SEP_ID, char_piece_ids, shuffle_key
 from titletags.operators import batches, compare, ensemble, folds, lookup, metrics, pieces
 from titletags.operators import sequences as seqs
 from titletags.operators.fill import forward_fill
@@ -34,6 +35,8 @@ from titletags.sources import models, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Titles above this number count as unlabelled, those up to it as labelled.
+LAST_LABELLED = 120_000
 
 
 def query(f: Query) -> Query:
@@ -87,7 +90,7 @@ def read_titles_file(spark, d):
 
 @query
 def read_unlabeled_file(spark, d):
-    return tables.records_above(_titles_file(spark, d), 30000).select("record_number", "title")
+    return tables.records_above(_titles_file(spark, d), LAST_LABELLED).select("record_number", "title")
 
 
 @query
@@ -120,7 +123,7 @@ def project_words(spark, d):
 
 @query
 def records_above(spark, d):
-    return tables.records_above(fx.titles(spark, d), 30000)
+    return tables.records_above(fx.titles(spark, d), LAST_LABELLED)
 
 
 @query
@@ -356,6 +359,13 @@ def f1_aspects(spark, d):
     return _round(metrics.f1_aspects(_report(spark, d)), "f1")
 
 
+@query
+def f1_without_aspects(spark, d):
+    """NULL: no word of the truth has an aspect, though some are predicted to."""
+    bare = fx.predicted(spark, d).filter(F.col("y") < FIRST_ASPECT_ID)
+    return metrics.f1_aspects(metrics.class_report(metrics.confusion(bare)))
+
+
 @query
 def class_weights(spark, d):
     return _round(metrics.class_weights(fx.gold(spark, d)), "weight")
@@ -398,6 +408,14 @@ def ensemble_label(spark, d):
     return ensemble.best_label(mean).select("record_number", "pos", "label_id")
 
 
+@query
+def best_label_logits(spark, d):
+    """Label with the highest mean score where scores are below zero."""
+    logits = fx.logits(spark, d).withColumn("logit", F.col("logit") - 6)
+    mean = ensemble.mean_probability(logits, fx.N_MODELS, prob="logit")
+    return ensemble.best_label(mean, prob="logit").select("record_number", "pos", "label_id")
+
+
 @query
 def argmax_arrays(spark, d):
     score = F.array(*[((F.col("y") * 3 + F.col("pos") * i) % 5).cast("double") for i in range(6)])
@@ -424,6 +442,17 @@ def pair_predictions(spark, d):
     return metrics.pair_predictions(truth, rows.select("record_number", "pos", "p"))
 
 
+@query
+def prediction_check(spark, d):
+    """Some predictions are missing here, and some belong to no word."""
+    rows = fx.predicted(spark, d)
+    extra = rows.filter((F.col("record_number") % 5 == 0) & (F.col("pos") == 4)).select(
+        "record_number", F.lit(99).alias("pos"), F.lit(0).alias("p"))
+    lost = (F.col("record_number") % 7 == 0) & (F.col("pos") == 3)
+    predicted = rows.filter(~lost).select("record_number", "pos", "p").unionByName(extra)
+    return metrics.prediction_check(rows.select("record_number", "pos", "y"), predicted)
+
+
 @query
 def first_piece_predictions(spark, d):
     words = fx.predicted(spark, d)
@@ -492,6 +521,29 @@ def word_pieces_plugin(spark, d):
     return rows.withColumn("piece_ids", _text(F.col("piece_ids")))
 
 
+@query
+def piece_check(spark, d):
+    """Words that a tokenizer for letters gives no piece for."""
+    letters = F.regexp_replace("token", "[^A-Za-z]", "")
+    words = fx.tagged(spark, d).withColumn("piece_ids", char_piece_ids(letters))
+    return pieces.piece_check(words)
+
+
+@query
+def pseudo_labels_all_pieces(spark, d):
+    """A prediction per word, carried by all its pieces, start and end pieces blank."""
+    words = fx.predicted(spark, d).select("record_number", "pos", "token", F.col("p").alias("label_id"))
+    rows = pieces.align_words(pieces.with_piece_ids(words), first_piece_only=False)
+    cells = F.array_sort(F.collect_list(F.struct("pos", "piece_no", "piece_id", "label_id")))
+    whole = rows.groupBy("record_number").agg(cells.alias("cells"))
+
+    def framed(name: str, start: int, end: int) -> Column:
+        return F.concat(F.array(F.lit(start)), F.col("cells")[name], F.array(F.lit(end)))
+
+    masked = pieces.mask_predictions(framed("piece_id", CLS_ID, SEP_ID), framed("label_id", 0, 0))
+    return whole.select("record_number", _text(masked).alias("preds"))
+
+
 @query
 def align_words(spark, d):
     return _aligned_words(spark, d).select(
@@ -540,7 +592,8 @@ def batches_shuffled(spark, d):
 
 
 def _padded(spark: SparkSession, d: str) -> DataFrame:
-    cut = batches.batches_shuffled(_aligned_sequences(spark, d), folds.SEED)
+    rows = tables.materialise(_aligned_sequences(spark, d))
+    cut = batches.batches_shuffled(rows, folds.SEED)
     return batches.pad_batches(cut)
 
 
@@ -563,7 +616,7 @@ def mask_predictions(spark, d):
 @query
 def cycle_batches(spark, d):
     """Two and a half passes over the unlabelled titles."""
-    titles = tables.records_above(fx.titles(spark, d), 30000)
+    titles = tables.records_above(fx.titles(spark, d), LAST_LABELLED)
     n_batches = titles.agg(F.ceil(F.count("*") / batches.BATCH_SIZE)).first()[0]
     rows = batches.cycle_batches(titles, int(n_batches * 5 // 2), folds.SEED)
     return rows.select("record_number", "pass_no", "step", "slot")
@@ -609,8 +662,11 @@ def test_fold_words(spark, d):
 
 
 def _distribution(spark: SparkSession, d: str) -> DataFrame:
+    return _distribution_of(spark, _record_labels(spark, d))
+
+
+def _distribution_of(spark: SparkSession, counts: DataFrame) -> DataFrame:
     ids = {row[1]: row[0] for row in label_rows()}
-    counts = _record_labels(spark, d)
     return folds.fold_distribution(
         counts, folds.assign_folds(counts), [ids[t] for t in TAGS_OF_INTEREST]
     )
@@ -621,6 +677,15 @@ def fold_distribution(spark, d):
     return lookup.with_label(_distribution(spark, d)).select("fold", "label", "n_train", "n_test")
 
 
+@query
+def fold_distribution_plain(spark, d):
+    """The same after the plain fill, where a continuation counts as its tag."""
+    words = lookup.with_label_id(forward_fill(fx.tagged(spark, d)), "tag")
+    counts = tables.materialise(folds.record_label_counts(words))
+    return lookup.with_label(_distribution_of(spark, counts)).select(
+        "fold", "label", "n_train", "n_test")
+
+
 @query
 def fold_balance(spark, d):
     return _round(folds.fold_balance(_distribution(spark, d)), "max_deviation")
@@ -662,10 +727,6 @@ def quota_fold_balance(spark, d):
 
 # --- tagger -------------------------------------------------------------------
 
-# Titles above this number count as unlabelled, those up to it as labelled.
-LAST_LABELLED = 30000
-
-
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     words = tables.materialise(lookup.with_label_id(fx.filled(spark, d), "tag"))
     placed = seqs.with_neighbours(words, long=long_records(words))
@@ -732,3 +793,91 @@ def self_training(spark, d):
         training.train_side(examples, 0), training.test_side(examples, 0),
         tables.materialise(contexts),
     )[0]
+
+
+# --- what is certain of the above ----------------------------------------------
+
+
+@query
+def quota_folds_once(spark, d):
+    """Each record is in one of the five folds, once."""
+    placed = assign_quota_folds(_record_labels(spark, d))
+    return placed.groupBy("record_number").agg(
+        F.count("*").cast("int").alias("n_folds"),
+        F.min(F.col("fold").between(0, 4).cast("int")).alias("in_range"),
+    )
+
+
+@query
+def quota_fold_totals(spark, d):
+    """Records per label, and whether its folds differ by 2 records or 5 % at most."""
+    spread = F.col("max_fold") - F.col("min_fold")
+    return quota_fold_balance(spark, d).select(
+        "label_id", "n_records",
+        (spread <= F.greatest(F.lit(2), F.col("n_records") / 20)).cast("int").alias("is_even"))
+
+
+@query
+def tagger_evaluation_support(spark, d):
+    return tagger_evaluation(spark, d).filter("support > 0").select("label_id", "support")
+
+
+@query
+def tagger_cross_validation_better(spark, d):
+    """Whether each model beats the one that calls every word a brand."""
+    examples = _examples(spark, d)
+    scores = training.cross_validate(examples, range(5))[0]
+    brand = {row[1]: row[0] for row in label_rows()}["Marke"]
+    flat = metrics.confusion(examples.withColumn("p", F.lit(brand)), y="label_id", p="p",
+                             keys=["fold"], weight=F.col("n"))
+    floor = metrics.f1_aspects(metrics.class_report(flat, ["fold"]), ["fold"], out="floor")
+    return scores.join(floor, "fold").select(
+        "fold", "round", (F.col("f1") > F.col("floor")).cast("int").alias("better"))
+
+
+@query
+def saved_tagger_agreement(spark, d):
+    """Words of a fold, and those that a model and its saved copy label alike."""
+    examples, path = _examples(spark, d), tables.shared_folder(spark)
+    fitted = training.cross_validate(examples, [0], rounds=(10,), model_path=path)[1][0]
+    loaded = models.load_model(spark, f"{path}/fold_0")[0]
+    test = training.test_side(examples, 0)
+    both = tagging.score(tagging.score(test, fitted, "p"), loaded, "q")
+    return both.agg(F.sum("n").alias("n_words"),
+                    F.sum(F.when(F.col("p") == F.col("q"), F.col("n"))).alias("n_agree"))
+
+
+def _word_balance(spark: SparkSession, d: str, fold_numbers: list[int]) -> DataFrame:
+    """Titles, and words in their spans less words with an aspect label."""
+    fitted = list(training.cross_validate(_examples(spark, d), fold_numbers, rounds=(10,))[1].values())
+    titles = tables.materialise(fx.titles(spark, d))
+    words = seqs.title_words_in_context(titles)
+    scored = (tagging.score(words, fitted[0]) if len(fitted) == 1
+              else tagging.score_ensemble(words, fitted))
+    labelled = aspect_words(lookup.with_label(scored)).agg(F.count("*").alias("b"))
+    in_spans = inference.infer_spans(titles, fitted).agg(
+        F.sum(F.size(F.split("value", " "))).alias("a"))
+    return titles.agg(F.count("*").alias("n_titles")).crossJoin(in_spans).crossJoin(labelled).select(
+        "n_titles", (F.col("a") - F.col("b")).alias("difference"))
+
+
+@query
+def infer_titles_word_balance(spark, d):
+    return _word_balance(spark, d, [0])
+
+
+@query
+def infer_titles_ensemble_word_balance(spark, d):
+    return _word_balance(spark, d, [0, 1])
+
+
+@query
+def pseudo_label_words(spark, d):
+    return pseudo_labels(spark, d).select(
+        "record_number", "pos", "token",
+        F.col("label_id").between(0, 69).cast("int").alias("in_range"))
+
+
+@query
+def self_training_rounds(spark, d):
+    return self_training(spark, d).select("round", "n_pseudo")

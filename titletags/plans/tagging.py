@@ -22,8 +22,8 @@ from titletags.functions.features import CONTEXT, context_features
 from titletags.functions.labels import N_LABELS
 from titletags.operators import metrics
 
-# Most frequent features kept; bounds the model at 70 x N_FEATURES coefficients.
-N_FEATURES = 1 << 14
+# Features are hashed to so many places, which bounds the model at 70 x WIDTH coefficients.
+WIDTH = 1 << 14
 
 
 def count_examples(words: DataFrame, keys: Sequence[str] = (), label: str = "label_id") -> DataFrame:
@@ -35,16 +35,20 @@ def count_examples(words: DataFrame, keys: Sequence[str] = (), label: str = "lab
     )
 
 
-def with_features(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("terms", context_features(*[F.col(c) for c in CONTEXT]))
+def with_features(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Every feature of the context, as the number of its place."""
+    terms = context_features(*[F.col(c) for c in CONTEXT])
+    places = F.transform(terms, lambda t: F.pmod(F.hash(t), F.lit(width)).cast("string"))
+    return rows.withColumn("terms", places)
 
 
 def fit_tagger(examples: DataFrame, weight: str = "n", max_iter: int = 20,
-               reg: float = 1e-5, n_features: int = N_FEATURES) -> PipelineModel:
+               reg: float = 1e-5) -> PipelineModel:
     """Multinomial regression over all 70 labels, also those the examples lack.
 
-    The features seen make up the vector, so that the coefficients fill their matrix
-    and are stored densely: scoring with a sparse matrix is many times slower.
+    All features reach the model; beyond WIDTH of them some share a place. The places
+    seen make up the vector, so that the coefficients fill their matrix and are stored
+    densely: scoring with a sparse matrix is many times slower.
     """
     nominal = {"ml_attr": {"type": "nominal", "num_vals": N_LABELS}}
     rows = with_features(examples).select(
@@ -53,7 +57,7 @@ def fit_tagger(examples: DataFrame, weight: str = "n", max_iter: int = 20,
         F.col(weight).cast("double").alias("weight"),
     )
     vectors = CountVectorizer(
-        inputCol="terms", outputCol="features", vocabSize=n_features, binary=True
+        inputCol="terms", outputCol="features", vocabSize=WIDTH, binary=True
     )
     regression = LogisticRegression(
         family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg

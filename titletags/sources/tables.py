@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titletags.operators.ordered import PRECEDING
@@ -26,15 +27,25 @@ def read_titles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    # Quotes are plain characters; only an empty field is missing.
+    """A table whose lines all fit the schema. Quotes are plain characters; only an empty
+    field is missing; fields missing at the end of a line are empty. A line with too many
+    fields, or with a record number that is no number, ends the job."""
     rows = (
-        spark.read.schema(schema)
+        spark.read.schema(f"{schema}, _line string")
         .option("sep", "\t")
         .option("header", True)
         .option("quote", "")
+        .option("columnNameOfCorruptRecord", "_line")
         .csv(path)
     )
-    return with_row_index(rows)
+    first, *rest = [c for c in rows.columns if c != "_line"]
+    tabs = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit("\t"), F.lit("")))
+    wrong = F.col("_line").isNotNull() & (
+        (tabs > len(rest)) | (F.col(first).isNull() & ~F.startswith("_line", F.lit("\t")))
+    )
+    message = F.concat(F.lit("malformed line: "), "_line")
+    checked = F.when(wrong, F.raise_error(message).cast("long")).otherwise(F.col(first))
+    return with_row_index(rows, columns=[checked.alias(first), *rest])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,32 +54,36 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return with_row_index(lines, out="line_no").withColumn("line_no", F.col("line_no") + 1)
 
 
-def with_row_index(rows: DataFrame, out: str = "row_idx") -> DataFrame:
+def with_row_index(rows: DataFrame, out: str = "row_idx",
+                   columns: Sequence[Column | str] | None = None) -> DataFrame:
     """0-based row number of a just-read file table, in path and line order.
 
-    Rows stay where they were read. The running id is only comparable within one
-    split of one file, so the first id and the row count of each split are taken,
-    and the counts of the splits before it added. That table, one row per split, is
-    written out: the files are counted once however often the result is used, and
-    Spark broadcasts it if its true size allows.
+    The rows are written once, each with its file, the start of its split and a running
+    id that is comparable within a split. The first id and the row count of each split
+    are taken from that copy, so they fit it whatever the splits of another read would
+    be, and the counts of the splits before it are added. No row is shuffled; the split
+    table has one row per split. Files are ordered by folder, then by the number of the
+    part as a number, then by name.
     """
-    columns = rows.columns
-    placed = rows.select(
-        *columns,
+    names = [c for c in rows.columns if c != "_line"]
+    placed = materialise(rows.select(
+        *(columns or names),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
-    )
+    ))
     splits = placed.groupBy("_path", "_start").agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")
     )
-    before = Window.orderBy("_path", "_start").rowsBetween(*PRECEDING)
-    shifts = materialise(splits.select(
+    folder = F.regexp_replace("_path", "[^/]*$", "")
+    part = F.regexp_extract("_path", "part-([0-9]+)[^/]*$", 1).try_cast("decimal(38,0)")
+    before = Window.orderBy(folder, part, "_path", "_start").rowsBetween(*PRECEDING)
+    shifts = splits.select(
         "_path", "_start",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-    ))
+    )
     return placed.join(shifts, ["_path", "_start"]).select(
-        *columns, (F.col("_id") + F.col("_shift")).alias(out)
+        *names, (F.col("_id") + F.col("_shift")).alias(out)
     )
 
 
