@@ -41,6 +41,27 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def most_frequent(counts: DataFrame, limit: int) -> pd.DataFrame:
+    """(word, c) of the most frequent words of a written count, `limit` at most, the most
+    frequent first. Words as frequent as the first one left out are left out too.
+
+    The cut is found in a histogram of 16 steps per doubling, so nothing is sorted and no
+    more than `limit` rows come to the driver.
+    """
+    step = F.floor(16 * F.log2("c")).cast("int")
+    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    lowest, total = None, 0
+    for row in sizes:  # about a thousand rows at most
+        total += row["count"]
+        if total > limit:
+            break
+        lowest = row["step"]
+    chosen = counts.filter(F.lit(False) if lowest is None else step >= lowest)
+    found = chosen.select("word", "c").toPandas()
+    found["word"] = [bytes(w) for w in found["word"]]
+    return found.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+
+
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n, tokens): rows a word stands in, and how often in all; the null word has
     the number of rows and of words."""
