@@ -115,6 +115,10 @@ def test_search_in_tricky_documents(spark):
     assert [(q, r, s) for q, r, _, s in got] == [pytest.approx((q, r, s)) for q, r, _, s in want]
     assert [r[2] for r in got if r[0] == 1] == [12, 1, 5]  # equal scores by id
     assert top_k(nothing(spark), docs).count() == 0
+    large = 2**60 + 1
+    few = spark.createDataFrame([(large, "some words"), (None, "other words")], "doc_id long, text string")
+    assert {(r["query_id"], r["doc_id"]) for r in top_k(few, few).collect()} == {
+        (a, b) for a in (large, None) for b in (large, None)}
 
 
 def brute_shares(budget, children):
