@@ -98,11 +98,17 @@ def share_out(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
     return marked.withColumn("_given", given)
 
 
+def _written_small(leaves: DataFrame) -> DataFrame:
+    """A table of one row per leaf, in one file: many small ones would count as too large
+    to be broadcast, and every document would be shuffled to the place of its leaf."""
+    return written(leaves.repartition(1))
+
+
 def leaf_budgets(counted: DataFrame, mixture: Mixture) -> DataFrame:
     """(levels, _docs, _supply, _given) per leaf."""
     leaves = counted.groupBy(*LEVELS).agg(
         F.count("*").alias("_docs"), F.sum("_tokens").alias("_supply"))
-    leaves = written(leaves)
+    leaves = _written_small(leaves)
     whole = leaves.agg(F.coalesce(F.sum("_supply"), F.lit(0)).alias("all")).first()["all"]
     nodes, parent = None, []
     for depth, level in enumerate(LEVELS, start=1):
@@ -133,7 +139,7 @@ def cuts(counted: DataFrame, mixture: Mixture) -> DataFrame:
     budgets = leaf_budgets(counted, mixture)
     epochs = F.when(F.col("_supply") > 0, F.call_function("div", "_given", "_supply")).otherwise(0)
     digits = F.ceil(F.log(F.col("_docs") / DOCUMENTS_PER_BUCKET) / F.log(F.lit(16.0)))
-    leaves = written(
+    leaves = _written_small(
         budgets.withColumn("_epochs", epochs.cast("long"))
         .withColumn("_rest", F.col("_given") - F.col("_epochs") * F.col("_supply"))
         .withColumn("_digits", F.greatest(digits, F.lit(0)).cast("int"))
@@ -144,7 +150,7 @@ def cuts(counted: DataFrame, mixture: Mixture) -> DataFrame:
         .withColumn("_bucket", F.substring("_digest", F.lit(1), F.col("_digits")))
     )
     in_leaf = Window.partitionBy(*LEVELS).orderBy("_bucket")
-    ends = written(
+    ends = _written_small(
         placed.groupBy(*LEVELS, "_rest", "_bucket").agg(F.sum("_tokens").alias("_sum"))
         .withColumn("_end", F.sum("_sum").over(in_leaf))
         .filter((F.col("_end") >= F.col("_rest")) & (F.col("_end") - F.col("_sum") < F.col("_rest")))
@@ -160,7 +166,7 @@ def cuts(counted: DataFrame, mixture: Mixture) -> DataFrame:
         .agg(F.min(F.struct("_digest", (F.col("_rest") - F.col("_end") + F.col("_tokens"))
                             .alias("part"))).alias("_last"))
     )
-    return written(
+    return _written_small(
         leaves.join(last, list(LEVELS), "left")
         .select(*LEVELS, "_given", "_epochs", F.col("_last._digest").alias("_cut"),
                 F.col("_last.part").alias("_part"))
