@@ -1,5 +1,8 @@
 """Results that must not depend on sizes, splits, ranges of values or missing keys."""
 
+import os
+from urllib.parse import urlparse
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -143,3 +146,13 @@ def test_all_features_reach_the_model(spark, monkeypatch):
     assert min(r["n"] for r in counts) >= 3
     places = tagging.with_features(words, 8).select(F.explode("terms").alias("t")).distinct()
     assert {int(r["t"]) for r in places.collect()} <= set(range(8))
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    before = tables.materialise(spark.range(3))
+    assert before.count() == 3
+    path = urlparse(before.inputFiles()[0]).path
+    assert os.path.exists(path)
+    assert tables.drop_intermediate(spark) >= 1
+    assert not os.path.exists(path)
+    assert tables.drop_intermediate(spark) == 0

@@ -144,9 +144,28 @@ def records_above(titles: DataFrame, lowest: int, record: str = "record_number")
     return titles.filter(F.col(record) > lowest)
 
 
+# Folders handed out so far, per application.
+_folders: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for an intermediate table below the session's shared folder."""
-    return f"{shared_base(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_base(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; returns their number.
+
+    To be called when the results built on them have been written or collected.
+    """
+    paths = _folders.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name in paths:
+        path = hadoop.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def materialise(rows: DataFrame) -> DataFrame:
