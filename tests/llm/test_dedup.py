@@ -12,7 +12,7 @@ from titletags.llm.components import components
 from titletags.llm.simhash import drop_near_duplicates, fingerprint, near_duplicates
 
 
-@pytest.mark.parametrize("block_bytes", [3, 2048])
+@pytest.mark.parametrize("block_bytes", [512, 2048])
 def test_exact_duplicates_of_tricky_documents(spark, block_bytes):
     groups = defaultdict(list)
     for doc_id, text, *_ in TEXTS:
