@@ -215,3 +215,25 @@ def test_seatings_have_the_exact_distribution():
 def test_log_gamma():
     x = np.array([0.05, 0.5, 1, 3.7, 20, 1e6])
     assert np.allclose(pitman_yor.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-8)
+
+
+def test_language_model_learns_pairs_of_all_words(spark):
+    """Pairs beyond the most frequent words count as pairs, and outcomes sum to 1."""
+    # "the" and 600 rare words of one length; each rare a is always followed by its b.
+    texts = [(i, " ".join(f"a{i:04} b{i:04}" for _ in range(4)) + " the" * 5) for i in range(600)]
+    texts += [(1000, "a0007 b0007"), (1001, "a0007 b0300"), (1002, "a0007 zzzzz")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pitman_yor.score_texts(docs, F.col("doc_id") < 1000).collect()}
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+    assert got[1000]["score"] > got[1001]["score"] + 1
+    assert got[1002]["score"] < got[1001]["score"]
+    pairs = [("x", "y", 5), ("x", "z", 1), ("y", "x", 2), ("z", "y", 1), ("x", "n", 0),
+             ("q", "x", 0), ("x", "x", 0), ("q", "y", 0), ("q", "z", 0), ("q", "n", 0)]
+    number = {w: i for i, w in enumerate("xyznq")}
+    table = pitman_yor.written(spark.createDataFrame(
+        [(number[u], number[w], c, 1) for u, w, c in pairs], "u long, w long, c long, m long"))
+    scored, n = pitman_yor.pair_scores(table)
+    p = {(r["u"], r["w"]): 10 ** r["model"] for r in scored.collect()}
+    assert n == 9
+    for u in "xq":  # a context learned from, and one that is not
+        assert sum(p[number[u], number[w]] for w in "xyzn") == pytest.approx(1)
