@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import TEXTS, nothing, table, tricky, words
 from titletags.llm import mixing
-from titletags.llm.line_join import prefix_length, similar_lines, without_lines
+from titletags.llm.line_join import line_classes, prefix_length, similar_lines, without_lines
 from titletags.llm.search import top_k
 from titletags.llm.settings import MIXTURE, domain
 
@@ -64,6 +64,23 @@ def test_similar_lines_of_tricky_documents(spark):
     assert similar_lines(nothing(spark)).count() == 0
 
 
+def test_classes_of_lines(spark):
+    base = [f"v{i}" for i in range(12)]
+    chain = [" ".join([*base[:12 - i], *(f"x{j}" for j in range(i))]) for i in range(4)]
+    texts = [(1, chain[0] + "\n\nown line"), (2, chain[1]), (3, chain[2] + "\n" + chain[3]),
+             (4, "shared exactly\nother"), (None, "exactly  SHARED"), (5, None), (5, " \n")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = line_classes(docs).collect()
+    of = {(r["doc_id"], c["line_no"]): c["class_id"] for r in got for c in r["classes"]}
+    assert len(got) == 7 and set(of) == {
+        (1, 0), (1, 2), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (None, 0)}
+    assert len({of[1, 0], of[2, 0], of[3, 0], of[3, 1]}) == 1  # linked by a chain
+    assert of[4, 0] == of[None, 0]
+    assert len({of[1, 0], of[1, 2], of[4, 0], of[4, 1]}) == 4
+    links = {r["doc_id"]: r["n_links"] for r in got}
+    assert links[1] == 1 and links[3] == 3 and links[4] == 0
+
+
 def test_prefixes_are_as_short_as_they_may_be():
     for n in range(1, 60):
         least = math.ceil(round(0.8 * n, 9))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from titletags.llm import bpe, language_id, oracle, pairwise_quality, toxicity
 from titletags.llm.block_naming import exact_duplicates
 from titletags.llm.common import documents, id_remainder, labels
-from titletags.llm.line_join import similar_lines
+from titletags.llm.line_join import line_classes
 from titletags.llm.mixing import mix
 from titletags.llm.pitman_yor import score_texts
 from titletags.llm.search import top_k
@@ -26,7 +26,7 @@ def op2_mixing(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return similar_lines(documents(spark, sf_dir))
+    return line_classes(documents(spark, sf_dir))
 
 
 def op4_block_max_search(spark, sf_dir):
