@@ -189,3 +189,19 @@ def test_mix_of_tricky_documents(spark):
     # rows without tokens in leaves without tokens are read by no budget
     assert kept.count() == sum(bool(words(r[1])) for r in TEXTS)
     assert mixing.mix(nothing(spark), domain(), MIXTURE).count() == 0
+
+
+def test_mix_cuts_within_rows_of_one_id(spark):
+    ten = " ".join("abcdefghij")
+    docs = spark.createDataFrame(
+        [(9, ten, "en", "src0"), (9, ten, "en", "src0"), (None, ten + " k", "de", "src0"),
+         (None, ten, "de", "src0"), (None, None, "de", "src0")],
+        "doc_id long, text string, lang string, source string")
+    for parts in (1, 3, 5, 8, 17):
+        rows = mixing.mix(docs, domain(), replace(MIXTURE, budget_parts=parts)).collect()
+        leaves = defaultdict(list)
+        for r in rows:
+            leaves[r["lang"]].append(r)
+            assert 0 <= r["last_epoch_tokens"] <= r["n_tokens"]
+        for own in leaves.values():
+            assert sum(r["tokens_taken"] for r in own) == own[0]["leaf_budget"]

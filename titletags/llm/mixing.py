@@ -134,8 +134,8 @@ def _digest(seed: int, doc_id: str) -> Column:
 
 
 def cuts(counted: DataFrame, mixture: Mixture) -> DataFrame:
-    """Per leaf: budget, whole epochs, and the digest and tokens of the last document of
-    the epoch after them (null if that has no part)."""
+    """Per leaf: budget, whole epochs, and the last document of the epoch after them with
+    its part (null if there is none). Documents with one digest follow by tokens and row."""
     budgets = leaf_budgets(counted, mixture)
     epochs = F.when(F.col("_supply") > 0, F.call_function("div", "_given", "_supply")).otherwise(0)
     digits = F.ceil(F.log(F.col("_docs") / DOCUMENTS_PER_BUCKET) / F.log(F.lit(16.0)))
@@ -156,29 +156,32 @@ def cuts(counted: DataFrame, mixture: Mixture) -> DataFrame:
         .filter((F.col("_end") >= F.col("_rest")) & (F.col("_end") - F.col("_sum") < F.col("_rest")))
         .select(*LEVELS, "_bucket", (F.col("_end") - F.col("_sum")).alias("_before"))
     )
-    in_bucket = Window.partitionBy(*LEVELS).orderBy("_digest", "_id", "_tokens")
+    in_bucket = Window.partitionBy(*LEVELS).orderBy("_digest", "_tokens", "_n")
     last = (
         placed.join(ends, [*LEVELS, "_bucket"])
         .withColumn("_end", F.col("_before") + F.sum("_tokens").over(
             in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .filter(F.col("_end") >= F.col("_rest"))
         .groupBy(*LEVELS)
-        .agg(F.min(F.struct("_digest", (F.col("_rest") - F.col("_end") + F.col("_tokens"))
+        .agg(F.min(F.struct("_digest", "_tokens", "_n", (F.col("_rest") - F.col("_end") + F.col("_tokens"))
                             .alias("part"))).alias("_last"))
     )
     return _written_small(
         leaves.join(last, list(LEVELS), "left")
         .select(*LEVELS, "_given", "_epochs", F.col("_last._digest").alias("_cut"),
+                F.col("_last._tokens").alias("_cut_tokens"), F.col("_last._n").alias("_cut_n"),
                 F.col("_last.part").alias("_part"))
     )
 
 
 def _in_last_epoch(own_tokens: Column) -> Column:
     """Tokens of a document in the epoch that the budget ends in."""
-    digest = F.col("_digest")
+    own = F.struct("_digest", own_tokens.alias("_tokens"), "_n")
+    cut = F.struct(F.col("_cut").alias("_digest"), F.col("_cut_tokens").alias("_tokens"),
+                   F.col("_cut_n").alias("_n"))
     return (
-        F.when(F.col("_cut").isNull() | (digest > F.col("_cut")), 0)
-        .when(digest < F.col("_cut"), own_tokens)
+        F.when(F.col("_cut").isNull() | (own > cut), 0)
+        .when(own < cut, own_tokens)
         .otherwise(F.least(own_tokens, F.col("_part")))
         .cast("long")
     )
@@ -187,7 +190,8 @@ def _in_last_epoch(own_tokens: Column) -> Column:
 def _counted(docs: DataFrame, domain: Column, doc_id: str, text: str, lang: str,
              source: str) -> DataFrame:
     return written(docs.select(F.col(doc_id).alias("_id"), *_leaf(domain, lang, source),
-                               tokens(text).alias("_tokens")))
+                               tokens(text).alias("_tokens"),
+                               F.monotonically_increasing_id().alias("_n")))
 
 
 def mix(docs: DataFrame, domain: Column, mixture: Mixture, doc_id: str = "doc_id",
@@ -198,7 +202,7 @@ def mix(docs: DataFrame, domain: Column, mixture: Mixture, doc_id: str = "doc_id
     `epochs` is how often the document is read as a whole, `last_epoch_tokens` how many
     of its first tokens are read once more. A null level is a node of its own, shown as
     `(none)`. Null and empty texts have no tokens and cost nothing. Rows that repeat an
-    id within a leaf are taken or left together. A node of weight 0 gets nothing.
+    id within a leaf follow one another, the shorter first, until the budget ends. A node of weight 0 gets nothing.
     An empty table gives an empty table. Other columns are not read.
     """
     counted = _counted(docs, domain, doc_id, text, lang, source)
@@ -217,7 +221,8 @@ def mix(docs: DataFrame, domain: Column, mixture: Mixture, doc_id: str = "doc_id
 def keep_mixed(docs: DataFrame, domain: Column, mixture: Mixture, doc_id: str = "doc_id",
                text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of `docs` that the mix reads at least in part, each once, with all their
-    columns. The document in which a budget ends is kept whole."""
+    columns. The document in which a budget ends is kept whole, and so are all rows
+    of its leaf that share its id."""
     cut = cuts(_counted(docs, domain, doc_id, text, lang, source), mixture)
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"),
                        *_leaf(domain, lang, source))
