@@ -44,3 +44,11 @@ def test_stages_take_tricky_and_no_documents(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, sf_dir))
         assert docs.columns[0] == "doc_id"
+
+
+def test_language_stage_keeps_documents_of_close_languages(spark, sf_dir):
+    texts = [(i, "the same few words", lang, "src0") for i, lang in enumerate(["en", "de", "fr"] * 4)]
+    docs = spark.createDataFrame([*texts, (99, "123", "en", "src0")],
+                                 "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.identify_language(spark, docs, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(12))
