@@ -33,3 +33,7 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 def labels(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def embeddings(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")

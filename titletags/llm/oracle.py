@@ -78,7 +78,87 @@ select doc_id, domain, lang, source, n_tokens::bigint as n_tokens,
 from taken
 """
 
+HARD_NEGATIVES = """
+with numbered as (
+  select row_number() over () as r, vec_id, embedding,
+    case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+  from embeddings where label is not null and embedding is not null
+), components as (
+  select r, vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding) as x
+  from numbered
+), taking_part as (
+  select r from components group by r having bool_and(x is not null and isfinite(x))
+), cells as (
+  select r, vec_id, label, i, floor(256 * x::double)::bigint as x
+  from components join taking_part using (r)
+), scores as (
+  select a.r as anchor, a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+    sum(a.x * c.x)::bigint as score
+  from cells a join cells c on a.i = c.i and a.r <> c.r
+  where a.vec_id % 50 = 0
+  group by a.r, a.vec_id, a.label, c.r, c.vec_id, c.label
+), positives as (
+  select anchor, anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over w)::int as rank, vec_id as negative_id,
+  positive_score, score as negative_score
+from positives join scores using (anchor, anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by anchor, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 3
+"""
+
+FILTER_AUDIT = rf"""
+with rows as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents
+), firsts as (
+  select t, min(doc_id) as first_id from rows group by t
+), words as (
+  select r.*, first_id, regexp_extract_all(t, '{WORD}') as words from rows r join firsts using (t)
+), marked as (
+  select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id
+), failed as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    (len(words) < 100)::int
+    + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(first_id < doc_id, false)::int as bits
+  from words left join marked using (doc_id)
+), counts as (
+  select part, bits, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from failed group by part, bits
+), letters(c, b) as (
+  values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders as (
+  select concat(a.c, b.c, c.c, d.c, e.c) as filter_order
+  from letters a join letters b on b.c <> a.c join letters c on c.c not in (a.c, b.c)
+    join letters d on d.c not in (a.c, b.c, c.c) join letters e on e.c not in (a.c, b.c, c.c, d.c)
+), steps as (
+  select filter_order, step, own.b as own, own.c as letter,
+    coalesce((select sum(b) from letters where instr(filter_order[:step - 1], c) > 0), 0)::int
+      as earlier
+  from orders, (select unnest([1, 2, 3, 4, 5]) as step) s
+    join letters own on own.c = filter_order[step]
+), worked as (
+  select part, filter_order, step, letter,
+    coalesce(sum(n) filter (bits & (own | earlier) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (bits & own <> 0 and bits & earlier = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (bits & own <> 0 and bits & earlier <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (bits = own), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (bits & own <> 0 and bits & earlier = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (bits & own <> 0 and bits & earlier = 0), 0)::bigint as toxic_lost
+  from counts, steps group by part, filter_order, step, letter
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, letter))::bigint as shapley
+from worked
+"""
+
 ORACLE = {
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_filter_audit": FILTER_AUDIT,
     "op2_mixing": MIXING,
     "op5_exact_dedup": EXACT_DEDUP,
 }

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from titletags.llm import bpe, language_id, oracle, pairwise_quality, toxicity
 from titletags.llm.block_naming import exact_duplicates
-from titletags.llm.common import documents, id_remainder, labels
+from titletags.llm.common import documents, embeddings, id_remainder, labels, written
+from titletags.llm.filter_audit import filter_audit
+from titletags.llm.hard_negatives import hard_negatives
 from titletags.llm.line_join import line_classes
 from titletags.llm.mixing import mix
+from titletags.llm.packing import pack, token_pieces
 from titletags.llm.pitman_yor import score_texts
 from titletags.llm.search import top_k
-from titletags.llm.settings import MIXTURE, PATTERN, VOCABULARY, domain
+from titletags.llm.settings import END_ID, MIXTURE, PATTERN, VOCABULARY, WORD_PIECES, domain
 from titletags.llm.simhash import near_duplicates
 
 def op1_pairwise_quality(spark, sf_dir):
@@ -75,6 +78,24 @@ def op10_language_id(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    pieces = written(token_pieces(documents(spark, sf_dir), WORD_PIECES, END_ID))
+    return pack(pieces.select("doc_id", "piece", "start", "length",
+                              F.crc32("ids").alias("ids_crc32"), "part", "nth"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    """Where vec_id is divisible by 7 the label is a wrong one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(
+        F.col("label"))
+    return hard_negatives(embeddings(spark, sf_dir).withColumn("label", label),
+                          F.col("vec_id") % 50 == 0)
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {
     "op1_pairwise_quality": op1_pairwise_quality,
     "op2_mixing": op2_mixing,
@@ -86,6 +107,9 @@ QUERIES = {
     "op8_toxicity_chain": op8_toxicity_chain,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE = oracle.ORACLE

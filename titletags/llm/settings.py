@@ -10,6 +10,9 @@ from titletags.llm.mixing import Mixture
 
 PATTERN = public_tokenizers.PATTERN
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+# Tokens of packed sequences, and the id that ends a document there.
+WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 1
 # Target mix of the given sources: five sources make a domain.
 MIXTURE = Mixture(
     weights={
