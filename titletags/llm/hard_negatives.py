@@ -35,14 +35,21 @@ SCALE = 256.0
 Heap = list[tuple]  # (-score, id is null, id), the best first
 
 
+def _even(a: np.ndarray) -> np.ndarray:
+    """Zeros added to make both sides even."""
+    m, n = a.shape
+    out = np.zeros((m + m % 2, n + n % 2), a.dtype)
+    out[:m, :n] = a
+    return out
+
+
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     """a @ b for whole numbers."""
     (m, k), n = a.shape, b.shape[1]
     if min(m, k, n) <= leaf:
         return a @ b
     if m % 2 or k % 2 or n % 2:
-        a = np.pad(a, ((0, m % 2), (0, k % 2)))
-        b = np.pad(b, ((0, k % 2), (0, n % 2)))
+        a, b = _even(a), _even(b)
     (h, w), v = (a.shape[0] // 2, a.shape[1] // 2), b.shape[1] // 2
     a11, a12, a21, a22 = a[:h, :w], a[:h, w:], a[h:, :w], a[h:, w:]
     b11, b12, b21, b22 = b[:w, :v], b[:w, v:], b[w:, :v], b[w:, v:]
