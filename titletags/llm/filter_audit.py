@@ -7,8 +7,9 @@ and rows are counted per combination of failures, as bits. All orders are then w
 from these few counts.
 
 Scale: a text is moved only if another one has its hash. The join finds one row per
-different text on its right, however many copies there are, so a group of copies costs a
-row per copy and Spark can split it. Counts are taken per task before anything is shuffled.
+different text on its right, however many copies there are, and a hash that very many rows
+have is dealt to as many keys as it takes. Counts are taken per task before anything is
+shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from titletags.llm.common import SPACES, written
 
-COPY = "E"
+# Rows of one hash that are joined under one key, on average.
+ROWS_TOGETHER = 256
 
 
 def text_failures(text: Column) -> dict[str, Column]:
@@ -48,14 +50,17 @@ def later_copies(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     named = rows.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).withColumn(
         "_hash", F.xxhash64(text))
-    repeated = written(named.groupBy("_hash").agg(F.count("*").alias("_n"))
-                       .filter("_n > 1").select("_hash"))
-    suspects = written(named.join(repeated, "_hash", "left_semi"))
-    firsts = suspects.groupBy("_hash", F.col(text).alias("_text")).agg(
-        F.min(doc_id).alias("_first")).withColumnRenamed("_hash", "_same")
-    copy = ((F.col("_hash") == F.col("_same")) & (F.col(text) == F.col("_text"))
-            & (F.col("_first") < F.col(doc_id)))
-    return suspects.join(firsts, copy, "left_semi").drop("_hash")
+    repeated = written(
+        named.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1")
+        .select("_hash", F.ceil(F.col("_n") / ROWS_TOGETHER).alias("_keys")))
+    suspects = written(named.join(repeated, "_hash").withColumn(
+        "_key", F.monotonically_increasing_id() % F.col("_keys")))
+    firsts = suspects.groupBy(F.col("_hash").alias("_same"), F.col(text).alias("_text")).agg(
+        F.min(doc_id).alias("_first"), F.max("_keys").alias("_of"))
+    firsts = firsts.withColumn("_each", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    copy = ((F.col("_hash") == F.col("_same")) & (F.col("_key") == F.col("_each"))
+            & (F.col(text) == F.col("_text")) & (F.col("_first") < F.col(doc_id)))
+    return suspects.join(firsts, copy, "left_semi").select(*rows.columns)
 
 
 def failure_counts(docs: DataFrame, labels: DataFrame, part: str = "lang",
