@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from titletags.functions.labels import as_inner
 from titletags.operators.ordered import (
-    PRECEDING,
+    FANOUT,
+    LAST,
     ROWS_PER_CHUNK,
     TO_CURRENT,
+    Chunks,
+    earlier_chunks,
     join_on,
-    range_chunk,
+    order_chunks,
 )
 
 
@@ -24,6 +27,7 @@ def forward_fill(
     partition_by: Sequence[str] = (),
     inner: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunks: Chunks | None = None,
 ) -> DataFrame:
     """Replace each missing tag by the last tag above it in `order`.
 
@@ -31,16 +35,26 @@ def forward_fill(
     default the fill runs over the whole table and crosses records, as the files
     mean it; `partition_by` restarts it per group. Rows above the first tag stay
     missing. A NULL key is a group of its own; a row without a place in the order passes
-    nothing on. The order is worked off in chunks (see `ordered`).
+    nothing on.
+
+    The order is worked off in chunks, whose last tags are carried on by a scan over the
+    tree of chunks (see `ordered`). The borders of the chunks
+    take an aggregation over the order column first; where `df` is costly to make, give
+    `chunks` from a table whose order column is spread alike.
     """
+    if chunks is None:
+        chunks = order_chunks(df, order, rows_per_chunk)
     cell = [*partition_by, "_chunk"]
-    rows = df.withColumn("_chunk", range_chunk(F.col(order), rows_per_chunk))
+    rows = df.withColumn("_chunk", chunks.of(F.col(order)))
+    if not partition_by and chunks.count <= FANOUT:
+        # A partition each; by their hash a few chunks would be dealt out unevenly.
+        rows = rows.repartitionById(chunks.count, "_chunk")
     inside = Window.partitionBy(*cell).orderBy(order).rowsBetween(*TO_CURRENT)
-    before = Window.partitionBy(*partition_by).orderBy("_chunk").rowsBetween(*PRECEDING)
-
     tagged_order = F.when(F.col(tag).isNotNull(), F.col(order))
     tails = rows.groupBy(*cell).agg(F.max_by(tag, tagged_order).alias("_tail"))
-    carried = tails.select(*cell, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    carried = earlier_chunks(tails, chunks.count, "_tail", LAST, "_carry", partition_by)
+    if not partition_by:
+        carried = F.broadcast(carried)  # a row per chunk, MAX_CHUNKS at most
 
     above = F.coalesce(F.col("_above"), F.col("_carry"))
     filled = as_inner(above) if inner else above

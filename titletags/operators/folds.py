@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from titletags.functions.text import shuffle_key
 from titletags.operators.ordered import digest_chunk, number_rows
+from titletags.sources.tables import materialise
 
 SEED = 42
 
@@ -35,15 +36,16 @@ def strata(record_labels: DataFrame, seed: int = SEED, record: str = "record_num
     """Each record's rarest label as `stratum` and its seeded random rank within it.
 
     A stratum may hold most records, so ranks are counted within (stratum, leading
-    digest digits) and shifted by the counts of the digests before.
+    digest digits) and shifted by the counts of the digests before. The strata are written
+    out once and read for the number of digits, the counts and the ranks; give a written
+    table of `record_labels` as well.
     """
     rarity = label_rarity(record_labels, label).select(label, "rarity")
-    rarest = (
+    rarest = materialise(
         record_labels.join(F.broadcast(rarity), label)
         .groupBy(record)
         .agg(F.min("rarity").alias("stratum"))
-        .withColumn("_digest", shuffle_key(seed, F.col(record)))
-    )
+    ).withColumn("_digest", shuffle_key(seed, F.col(record)))
     return number_rows(
         rarest, ["_digest", record], digest_chunk(F.col("_digest"), rarest), keys=["stratum"],
         out="rank",

@@ -2,14 +2,18 @@
 
 Rows are cut into chunks that follow the order. A window runs inside each chunk,
 one row per chunk is summed up separately, and what the earlier chunks hold is
-joined back. The full data is shuffled once, by chunk; the chunk table is smaller
-by the number of rows per chunk and is never hinted as a broadcast, since it grows
-with the data: adaptive execution sees its true size.
+joined back. The full data is shuffled once, by chunk.
+
+The borders of the chunks are quantiles of the order column, so the chunks hold about as
+many rows each however the order is spread, and there are MAX_CHUNKS of them at most. What
+the earlier chunks hold is a prefix scan over a tree: chunks are scanned within groups of
+FANOUT, the groups are summed up to one row each, and these are scanned the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -20,10 +24,103 @@ ROWS_PER_CHUNK = 1 << 18
 # A key with more rows than this is handled chunk by chunk, others in one group.
 HOT_ROWS = 1 << 18
 
+# Beyond this number of chunks they hold more rows each instead.
+MAX_CHUNKS = 1 << 14
+# Children of a node in the tree of chunk summaries.
+FANOUT = 256
+# Borders that are compared one by one; more are searched by halves.
+FEW_BORDERS = 64
+
 PRECEDING = (Window.unboundedPreceding, -1)
 TO_CURRENT = (Window.unboundedPreceding, Window.currentRow)
 
 
+@dataclass(frozen=True)
+class Chunks:
+    """Pieces of an order, cut at ascending borders; a border belongs to the later piece."""
+
+    borders: tuple[int, ...] = ()
+
+    @property
+    def count(self) -> int:
+        return len(self.borders) + 1
+
+    def of(self, order: Column) -> Column:
+        """Number of the piece: how many borders are at or below it. NULL for NULL."""
+        if len(self.borders) <= FEW_BORDERS:
+            at_or_above = [(order >= F.lit(b)).cast("int") for b in self.borders]
+            return sum(at_or_above, F.when(order.isNotNull(), F.lit(0)))
+        borders = F.split(F.lit(",".join(map(str, self.borders))), ",").cast("array<bigint>")
+        halves = F.lit([1 << i for i in reversed(range(len(self.borders).bit_length()))])
+
+        def further(at: Column, step: Column) -> Column:
+            there = (at + step <= len(self.borders)) & (F.get(borders, at + step - 1) <= order)
+            return F.when(there, at + step).otherwise(at)
+
+        return F.when(order.isNotNull(), F.aggregate(halves, F.lit(0), further))
+
+
+def order_chunks(rows: DataFrame, order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Chunks:
+    """Chunks of about `rows_per_chunk` rows, by the quantiles of an integer order column.
+
+    One aggregation over the column alone, or two beyond FANOUT chunks; what comes to the
+    driver is bounded by MAX_CHUNKS. The borders are approximate: results do not depend on
+    them, and any table whose order column is spread alike will do.
+    """
+    def quantiles(n: int) -> Column:
+        return F.percentile_approx(order, [i / n for i in range(1, n)], 8 * n)
+
+    found = rows.agg(F.count(order).alias("n"), quantiles(FANOUT).alias("borders")).first()
+    n = min(-(-found["n"] // rows_per_chunk), MAX_CHUNKS)
+    if n <= 1:
+        return Chunks()
+    if n <= FANOUT:
+        return Chunks(tuple(sorted({found["borders"][i * FANOUT // n - 1] for i in range(1, n)})))
+    return Chunks(tuple(sorted(set(rows.agg(quantiles(n)).first()[0]))))
+
+
+@dataclass(frozen=True)
+class Running:
+    """How values add up along an order: over a window, over a group by the number that
+    orders it, and two parts, the earlier one first. NULL stands for nothing."""
+
+    scan: Callable[[str], Column]
+    total: Callable[[str, str], Column]
+    joined: Callable[[Column, Column], Column]
+
+
+SUM = Running(
+    F.sum, lambda value, _: F.sum(value),
+    lambda a, b: F.coalesce(a + b, a, b),
+)
+LAST = Running(
+    lambda value: F.last(value, ignorenulls=True),
+    lambda value, order: F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))),
+    lambda a, b: F.coalesce(b, a),
+)
+
+
+def earlier_chunks(chunks: DataFrame, count: int, value: str, running: Running, out: str,
+                   keys: Sequence[str] = (), fanout: int = FANOUT) -> DataFrame:
+    """(keys, _chunk, out): what the chunks before each chunk come to, per key.
+
+    `chunks` has one row per key and chunk, whose number is below `count`, with its `value`.
+    """
+    cell = [*keys, "_chunk"]
+    if count <= fanout:
+        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*PRECEDING)
+        return chunks.select(*cell, running.scan(value).over(before).alias(out))
+    placed = chunks.select(*cell, value, F.call_function(
+        "div", F.col("_chunk"), F.lit(fanout)).cast("int").alias("_node"))
+    nodes = placed.groupBy(*keys, "_node").agg(running.total(value, "_chunk").alias(value))
+    above = earlier_chunks(nodes.withColumnRenamed("_node", "_chunk"), -(-count // fanout),
+                           value, running, "_above", keys, fanout)
+    before = Window.partitionBy(*keys, "_node").orderBy("_chunk").rowsBetween(*PRECEDING)
+    within = placed.select(*cell, "_node", running.scan(value).over(before).alias("_within"))
+    both = join_on(within, above.withColumnRenamed("_chunk", "_node"), [*keys, "_node"])
+    return both.select(*cell, running.joined(F.col("_above"), F.col("_within")).alias(out))
+
+
 def range_chunk(order: Column, rows: int = ROWS_PER_CHUNK) -> Column:
     """Chunk number of a near-dense integer order column."""
     return F.call_function("div", order, F.lit(rows))

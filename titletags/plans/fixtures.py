@@ -6,12 +6,13 @@ type and size; see FIXTURES.md for the SQL form of each table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from titletags.functions.labels import N_LABELS
 from titletags.operators.fill import forward_fill
 from titletags.operators.lookup import with_label_id
+from titletags.operators.ordered import ROWS_PER_CHUNK, Chunks, order_chunks
 
 N_MODELS = 6
 
@@ -75,8 +76,19 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forward_fill(tagged(spark, sf_dir), inner=True)
+def tagged_chunks(spark: SparkSession, sf_dir: str, rows_per_chunk: int = ROWS_PER_CHUNK,
+                  order: Column | None = None) -> Chunks:
+    """Chunks of the tagged words, from the order lines: six or seven words each. `order`
+    is a function of the plain order, if that is not what they are ordered by."""
+    row_idx = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 256
+    lines = table(spark, sf_dir, "lineitem").select(row_idx.alias("row_idx"))
+    if order is not None:
+        lines = lines.select(order.alias("row_idx"))
+    return order_chunks(lines, "row_idx", -(-rows_per_chunk // 7))
+
+
+def filled(spark: SparkSession, sf_dir: str, inner: bool = True) -> DataFrame:
+    return forward_fill(tagged(spark, sf_dir), inner=inner, chunks=tagged_chunks(spark, sf_dir))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,3 +162,22 @@ def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return docs.join(labels, "doc_id", "left")
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces from the names, brands and types of the parts: beginnings of up to five
+    letters, and parts of one to three letters from inside. A 7 is in none, so numbers with
+    it are unknown. Ids follow the text, from 3 on."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(
+        F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")), " "
+    )).alias("word")).filter(F.length("word") > 0).distinct()
+    first = words.select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(5)), lambda n: F.substring("word", F.lit(1), n))).alias("piece"))
+    places = words.filter(F.length("word") > 1).select(
+        "word", F.explode(F.sequence(F.lit(2), F.length("word"))).alias("at"))
+    inner = places.select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(3)),
+        lambda n: F.concat(F.lit("##"), F.substring("word", F.col("at"), n)))).alias("piece"))
+    pieces = first.unionByName(inner).distinct().filter(~F.contains("piece", F.lit("7")))
+    number = F.row_number().over(Window.orderBy("piece"))  # parts of words, not rows
+    return pieces.select("piece", (number + 2).alias("piece_id"))

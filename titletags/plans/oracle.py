@@ -95,6 +95,19 @@ VIEWS = {
                ('0x' || substr(md5(ps[i]),1,4))::int + 3 as piece_id
         from (select *, regexp_extract_all(token, '.{1,4}') as ps from v_gold) w,
              lateral (select unnest(range(1, len(ps)+1))::int as i) r""",
+    "v_part_words": """
+        select distinct w from (select unnest(string_split(
+            concat_ws(' ', p_name, p_brand, p_type, p_size::varchar), ' ')) as w from part) t
+        where w <> ''""",
+    "v_vocabulary": """
+        select piece, (row_number() over (order by piece) + 2)::int as piece_id
+        from (select left(w, n) as piece
+              from v_part_words cross join (values (1), (2), (3), (4), (5)) k(n)
+              union
+              select '##' || substr(w, spot, n)
+              from (select w, unnest(range(2, length(w) + 1)) as spot from v_part_words) p
+              cross join (values (1), (2), (3)) k(n)) t
+        where not contains(piece, '7')""",
     "v_aligned": """
         select record_number,
                [0] || list(piece_id order by pos, piece_no) || [2] as ids,
@@ -230,7 +243,59 @@ def _text(column: str) -> str:
 _PER_LABEL = "count(*) as n, round(sum(prob), 4) as total"
 _TITLE = "join v_titles using (record_number)"
 
+def _greedy(words: str) -> str:
+    """Piece ids of the words of a relation (token), by a walk over the longest matches."""
+    return f"""
+        with recursive distinct_words as (select distinct token from ({words}) d),
+        places as (
+            select token, unnest(range(1, length(token) + 1)) as spot from distinct_words),
+        parts as (
+            select token, spot, n, case when spot > 1 then '##' else '' end || substr(token, spot, n)
+                     as piece
+            from places cross join (values (1), (2), (3), (4), (5)) k(n)
+            where spot + n - 1 <= length(token)),
+        longest as (
+            select token, spot, max(n) as n, arg_max(piece_id, n) as piece_id
+            from parts join v_vocabulary using (piece) group by token, spot),
+        walk as (
+            select token, 1::bigint as spot, ''::varchar as ids from distinct_words
+            union all
+            select w.token, w.spot + n, w.ids || case when w.spot > 1 then ' ' else '' end || piece_id
+            from walk w join longest l on w.token = l.token and w.spot = l.spot)
+        select token, coalesce(max(ids) filter (spot > length(token)), '2') as piece_ids
+        from walk group by token"""
+
+
+VIEWS |= {
+    "v_greedy": _greedy("select token from v_gold"),
+    "v_greedy_pieces": """
+        select record_number, pos, y, i - 1 as piece_no, string_split(piece_ids, ' ')[i]::int as piece_id
+        from (select * from v_gold join v_greedy using (token)) w,
+             lateral (select unnest(range(1, len(string_split(piece_ids, ' ')) + 1))::int as i) r""",
+    "v_document_words": """
+        select unnest(list_filter(string_split_regex(text, '[\\s\\v\\x1c-\\x1f\\x85\\p{Z}]+'),
+                                  lambda x: x <> '')) as token from documents""",
+    "v_greedy_documents": _greedy("select token from v_document_words"),
+    "v_greedy_aligned": """
+        select record_number,
+               [0] || list(piece_id order by pos, piece_no) || [2] as ids,
+               [null] || list(case when piece_no=0 then y end order by pos, piece_no)
+                 || [null] as labels
+        from v_greedy_pieces group by record_number""",
+}
+
 STATEMENTS = {
+    "vocabulary_table": "select * from v_vocabulary",
+    "vocabulary_pieces": """
+        select record_number, pos, token, piece_ids from v_gold join v_greedy using (token)""",
+    "vocabulary_document_words": """
+        select token, n, piece_ids from v_greedy_documents
+        join (select token, count(*) as n from v_document_words group by token) c using (token)""",
+    "align_vocabulary_words": """
+        select record_number, pos, piece_no, piece_id, case when piece_no=0 then y end as label_id
+        from v_greedy_pieces""",
+    "align_vocabulary_sequences": f"""
+        select record_number, {_text("ids")}, {_text("labels")} from v_greedy_aligned""",
     "read_tagged_file": f"""
         select record_number, title, token, tag, row_number() over (order by row_idx) - 1
                as row_idx from v_tagged {_TITLE}""",
@@ -276,6 +341,19 @@ STATEMENTS = {
     "fill_plain": "select record_number, pos, token, tag, row_idx from v_plain",
     "fill_inner": "select * from v_filled",
     "fill_small_chunks": "select * from v_filled",
+    "fill_sparse_order": "select * replace (row_idx * 256 as row_idx) from v_filled",
+    "fill_hashed_order": """
+        select record_number, pos, row_idx, token,
+               case when tag is not null then tag when c is null then null
+                    when c in ('No Tag','Obscure') then c else concat(c,'-I') end as tag
+        from (select *, last_value(tag ignore nulls) over (order by row_idx
+                rows between unbounded preceding and current row) as c
+              from (select * replace (row_idx * 2654435761 % 4294967291 as row_idx)
+                    from v_tagged) h) t""",
+    "fill_chunk_sizes": """
+        select name, count(*) as n_words, 1 as few, 1 as even
+        from v_tagged cross join (values ('plain'), ('sparse'), ('hashed')) n(name)
+        group by name""",
     "fill_within_record": """
         select record_number, pos, row_idx, token,
                case when tag is not null then tag when c in ('No Tag','Obscure') then c

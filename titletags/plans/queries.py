@@ -23,7 +23,7 @@ from titletags.functions.labels import (
     strip_inner,
 )
 from titletags.functions.text import CLS_ID, SEP_ID, char_piece_ids, shuffle_key
-from titletags.operators import batches, compare, ensemble, folds, lookup, metrics, pieces
+from titletags.operators import batches, compare, ensemble, folds, lookup, metrics, pieces, vocabulary
 from titletags.operators import sequences as seqs
 from titletags.operators.fill import forward_fill
 from titletags.operators.ordered import long_records
@@ -160,7 +160,7 @@ def id_to_label(spark, d):
 
 @query
 def english_names(spark, d):
-    filled = forward_fill(fx.tagged(spark, d))
+    filled = fx.filled(spark, d, inner=False)
     return lookup.with_english(seqs.tag_frequency(filled), "tag").select("tag", "english", "n")
 
 
@@ -208,7 +208,7 @@ def _predicted_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fill_plain(spark, d):
-    return forward_fill(fx.tagged(spark, d))
+    return fx.filled(spark, d, inner=False)
 
 
 @query
@@ -218,7 +218,42 @@ def fill_inner(spark, d):
 
 @query
 def fill_small_chunks(spark, d):
-    return forward_fill(fx.tagged(spark, d), inner=True, rows_per_chunk=5000)
+    """With so many chunks that they make a tree of two levels."""
+    return forward_fill(fx.tagged(spark, d), inner=True, rows_per_chunk=1000,
+                        chunks=fx.tagged_chunks(spark, d, 1000))
+
+
+def _filled_in_order(spark: SparkSession, d: str, order: Column) -> DataFrame:
+    words = fx.tagged(spark, d).withColumn("row_idx", order)
+    return forward_fill(words, inner=True, chunks=fx.tagged_chunks(spark, d, order=order))
+
+
+@query
+def fill_sparse_order(spark, d):
+    """The rows are 256 times as far apart."""
+    return _filled_in_order(spark, d, F.col("row_idx") * 256)
+
+
+@query
+def fill_hashed_order(spark, d):
+    """The rows are in another order, spread over all numbers up to a prime."""
+    return _filled_in_order(spark, d, F.col("row_idx") * 2654435761 % 4294967291)
+
+
+@query
+def fill_chunk_sizes(spark, d):
+    """Chunks of the three orders: about as many as the rows ask for, and none too full."""
+    orders = {"plain": F.col("row_idx"), "sparse": F.col("row_idx") * 256,
+              "hashed": F.col("row_idx") * 2654435761 % 4294967291}
+    words, found = fx.tagged(spark, d).select("row_idx"), []
+    for name, order in orders.items():
+        chunks = fx.tagged_chunks(spark, d, 10_000, order)
+        sizes = words.groupBy(chunks.of(order).alias("chunk")).agg(F.count("*").alias("n"))
+        found.append(sizes.agg(
+            F.lit(name).alias("name"), F.sum("n").alias("n_words"),
+            (F.count("*") <= 2 * F.ceil(F.sum("n") / 10_000)).cast("int").alias("few"),
+            (F.max("n") <= 20_000).cast("int").alias("even")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query
@@ -298,13 +333,13 @@ def tag_frequency(spark, d):
 
 @query
 def distinct_tags(spark, d):
-    rows = seqs.distinct_tags(forward_fill(fx.tagged(spark, d)))
+    rows = seqs.distinct_tags(fx.filled(spark, d, inner=False))
     return rows.select("record_number", F.array_join("tags", ",", "-").alias("tags"))
 
 
 @query
 def tag_index(spark, d):
-    return seqs.tag_index(forward_fill(fx.tagged(spark, d)))
+    return seqs.tag_index(fx.filled(spark, d, inner=False))
 
 
 @query
@@ -316,7 +351,7 @@ def multi_hot(spark, d):
 @query
 def multi_hot_columns(spark, d):
     tags = ["Marke", "Farbe", "Modell", "Produktart", "No Tag", "EU-Schuhgröße"]
-    return seqs.multi_hot_columns(forward_fill(fx.tagged(spark, d)), tags)
+    return seqs.multi_hot_columns(fx.filled(spark, d, inner=False), tags)
 
 
 @query
@@ -509,6 +544,49 @@ def word_pieces(spark, d):
     return rows.withColumn("piece_ids", _text(F.col("piece_ids")))
 
 
+UNKNOWN_ID = 2
+
+
+def _vocabulary_words(spark: SparkSession, d: str) -> DataFrame:
+    words = fx.gold(spark, d).withColumnRenamed("y", "label_id")
+    pieces_ = tables.materialise(fx.vocabulary(spark, d))
+    return vocabulary.with_vocabulary_ids(words, pieces_, UNKNOWN_ID)
+
+
+@query
+def vocabulary_table(spark, d):
+    return fx.vocabulary(spark, d)
+
+
+@query
+def vocabulary_pieces(spark, d):
+    return _vocabulary_words(spark, d).select(
+        "record_number", "pos", "token", _text(F.col("piece_ids")).alias("piece_ids"))
+
+
+@query
+def vocabulary_document_words(spark, d):
+    """Distinct words of the documents, most of which the vocabulary of the parts knows not."""
+    words = seqs.title_words(fx.table(spark, d, "documents"), "text", ("doc_id",))
+    counted = words.groupBy("token").agg(F.count("*").alias("n"))
+    known = vocabulary.with_vocabulary_ids(
+        counted, tables.materialise(fx.vocabulary(spark, d)), UNKNOWN_ID)
+    return known.select("token", "n", _text(F.col("piece_ids")).alias("piece_ids"))
+
+
+@query
+def align_vocabulary_words(spark, d):
+    return pieces.align_words(_vocabulary_words(spark, d)).select(
+        "record_number", "pos", "piece_no", "piece_id", "label_id")
+
+
+@query
+def align_vocabulary_sequences(spark, d):
+    rows = seqs.word_sequences(_vocabulary_words(spark, d), F.struct("label_id", "piece_ids"))
+    return pieces.align_sequences(rows).select(
+        "record_number", _text(F.col("ids")).alias("ids"), _text(F.col("labels")).alias("labels"))
+
+
 @query
 def word_pieces_plugin(spark, d):
     def three_letters(words: list[str]) -> list[list[int]]:
@@ -680,7 +758,7 @@ def fold_distribution(spark, d):
 @query
 def fold_distribution_plain(spark, d):
     """The same after the plain fill, where a continuation counts as its tag."""
-    words = lookup.with_label_id(forward_fill(fx.tagged(spark, d)), "tag")
+    words = lookup.with_label_id(fx.filled(spark, d, inner=False), "tag")
     counts = tables.materialise(folds.record_label_counts(words))
     return lookup.with_label(_distribution_of(spark, counts)).select(
         "fold", "label", "n_train", "n_test")
@@ -730,7 +808,7 @@ def quota_fold_balance(spark, d):
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     words = tables.materialise(lookup.with_label_id(fx.filled(spark, d), "tag"))
     placed = seqs.with_neighbours(words, long=long_records(words))
-    assigned = folds.assign_folds(folds.record_label_counts(words))
+    assigned = folds.assign_folds(tables.materialise(folds.record_label_counts(words)))
     return training.fold_examples(placed, assigned)
 
 
