@@ -18,18 +18,19 @@ def sigmoid(score):
 
 def ftrl(rows: list[Row], n_features: int, n_classes: int, *, epochs: int = 3,
          alpha: float = 1.0, beta: float = 1.0, l1: float = 0.0, l2: float = 0.0,
-         seed: int = 0) -> np.ndarray:
+         free_from: int | None = None, seed: int = 0) -> np.ndarray:
     """Multinomial weights, (n_features + 1) x n_classes; the last row is the constant.
 
     Follow the regularised leader: each coordinate has its own learning rate; the
     absolute penalty l1 keeps weights of uninformative features at exactly zero, l2
-    keeps the others small.
+    keeps the others small. Features from `free_from` on, and the constant, have no l1 then.
     """
+    end = n_features + 1 if free_from is None else free_from
     z = np.zeros((n_features + 1, n_classes))
     squares = np.zeros_like(z)
 
-    def weights(z: np.ndarray, squares: np.ndarray) -> np.ndarray:
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - l1, 0)
+    def weights(z: np.ndarray, squares: np.ndarray, at: np.ndarray) -> np.ndarray:
+        shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(at < end, l1, 0.0)[:, None], 0)
         return -shrunk / ((beta + np.sqrt(squares)) / alpha + l2)
 
     order = np.random.default_rng(seed)
@@ -37,14 +38,14 @@ def ftrl(rows: list[Row], n_features: int, n_classes: int, *, epochs: int = 3,
         for i in order.permutation(len(rows)):
             at, values, label = rows[i]
             at, values = np.append(at, n_features), np.append(values, 1.0)
-            w = weights(z[at], squares[at])
+            w = weights(z[at], squares[at], at)
             error = softmax(values @ w)
             error[label] -= 1.0
             gradient = values[:, None] * error
             grown = squares[at] + gradient * gradient
             z[at] += gradient - (np.sqrt(grown) - np.sqrt(squares[at])) / alpha * w
             squares[at] = grown
-    return weights(z, squares)
+    return weights(z, squares, np.arange(n_features + 1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) -> np.ndarray:

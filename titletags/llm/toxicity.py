@@ -2,8 +2,10 @@
 
 Categories are predicted one after the other. Each is a sparse logistic regression on
 the words of the text (and on the first letters of long words), and on the probabilities
-of the categories before it. While it is trained, these come from models that have not
-seen the document (out-of-fold), as they will when it is used.
+of the categories before it, as log-odds, which no absolute penalty keeps at zero. While it
+is trained, these come from models that have not seen the document (out-of-fold), as they
+will when it is used. Every fold has its share of either label, so that what a model lacks
+does not tell the labels of the documents it has not seen.
 
 Scale: nothing is shuffled but the labels. The chain is fitted on a bounded sample of
 labelled documents; each document is scored where it is read.
@@ -28,7 +30,10 @@ SAMPLE_ROWS = 6_000
 BUCKETS = 1 << 18
 FOLDS = 3
 STEM_BYTES = 5
-PENALTIES = {"alpha": 0.1, "l1": 3.0, "l2": 0.01, "epochs": 2}
+PENALTIES = {"alpha": 0.3, "l1": 5.0, "l2": 0.01, "epochs": 3}
+# Log-odds are taken no further out than this probability, in units of the size of a feature.
+CERTAIN = 1e-3
+ODDS_UNIT = 4.0
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&-"
 
 
@@ -42,9 +47,19 @@ def word_features(text: str | None) -> np.ndarray:
 
 
 def _extended(at: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word features and the probabilities of the earlier categories."""
+    """Word features and the log-odds of the earlier categories."""
     places = np.append(at, BUCKETS + np.arange(len(earlier)))
-    return places, np.append(np.ones(len(at)), earlier)
+    sure = np.clip(earlier, CERTAIN, 1 - CERTAIN)
+    return places, np.append(np.ones(len(at)), np.log(sure / (1 - sure)) / ODDS_UNIT)
+
+
+def label_folds(label: np.ndarray, folds: int) -> np.ndarray:
+    """Fold of each row, the rows of either label dealt out in turn."""
+    out = np.zeros(len(label), np.int64)
+    for value in (0, 1):
+        own = np.flatnonzero(label == value)
+        out[own] = np.arange(len(own)) % folds
+    return out
 
 
 @dataclass(frozen=True)
@@ -65,7 +80,7 @@ def _probability(weights: np.ndarray, at: np.ndarray, values: np.ndarray) -> flo
 
 
 def _binary(rows: list[Row], n_features: int) -> np.ndarray:
-    weights = ftrl(rows, n_features, 2, **PENALTIES)
+    weights = ftrl(rows, n_features, 2, free_from=BUCKETS, **PENALTIES)
     return weights[:, 1] - weights[:, 0]
 
 
@@ -92,10 +107,10 @@ def fit_chain(features: list[np.ndarray], truth: np.ndarray, categories: list[st
         label = truth[:, k].astype(int)
         rows = [(*_extended(at, earlier[i]), int(label[i])) for i, at in enumerate(features)]
         width = BUCKETS + k
-        unseen = np.zeros(n)
+        unseen, fold_of = np.zeros(n), label_folds(label, folds)
         for fold in range(folds):
-            model = _binary([row for i, row in enumerate(rows) if i % folds != fold], width)
-            for i in range(fold, n, folds):
+            model = _binary([rows[i] for i in np.flatnonzero(fold_of != fold)], width)
+            for i in np.flatnonzero(fold_of == fold):
                 unseen[i] = _probability(model, *rows[i][:2])
         weights.append(_binary(rows, width))
         thresholds.append(best_threshold(unseen, label))
