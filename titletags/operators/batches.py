@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from titletags.functions.text import PAD_ID, shuffle_key
 from titletags.operators.ordered import ROWS_PER_CHUNK, digest_chunk, number_rows, range_chunk
+from titletags.operators.permutation import permuted, round_keys
 
 BATCH_SIZE = 32
 
@@ -56,6 +57,33 @@ def attention_mask(ids: Column, pad_id: int = PAD_ID) -> Column:
     return F.transform(ids, lambda i: (i != pad_id).cast("int"))
 
 
+def cycle_permuted(rows: DataFrame, num_steps: int, seed: int, number: str = "row_idx",
+                   size: int = BATCH_SIZE) -> DataFrame:
+    """Exactly `num_steps` batches, `step` 0 onwards, in another order on each new pass.
+
+    `number` must number the rows from 0 without gaps, as the readers of `sources.tables`
+    do. Pass i takes them in the order of a keyed permutation of seed + i (see
+    `permutation`), which each row works out by itself, so a pass is neither sorted nor
+    shuffled; the number of rows is a scalar subquery, give a written table. No rows, or no
+    steps, give no batches. `cycle_batches` needs no row numbers, and sorts.
+    """
+    n = rows.agg(F.count("*")).scalar()
+    per_pass = F.call_function("div", F.col("_n") + (size - 1), F.lit(size))
+    passes = F.sequence(F.lit(0).cast("long"),
+                        F.call_function("div", F.lit(num_steps) - 1, F.col("_per_pass")))
+    sized = rows.filter(F.lit(num_steps > 0)).withColumn("_n", n).withColumn("_per_pass", per_pass)
+    repeated = sized.withColumn("pass_no", F.explode(passes))
+    place = permuted(F.col(number), F.col("_n"), round_keys(F.lit(seed) + F.col("pass_no"), F.col("_n")))
+    placed = repeated.withColumn("_at", place)
+    at = F.col("_at")
+    step = F.col("pass_no") * F.col("_per_pass") + F.call_function("div", at, F.lit(size))
+    return (
+        placed.withColumn("step", step).withColumn("slot", (at % size).cast("int"))
+        .filter(F.col("step") < num_steps)
+        .drop("_n", "_per_pass", "_at")
+    )
+
+
 def cycle_batches(rows: DataFrame, num_steps: int, seed: int, record: str = "record_number",
                   size: int = BATCH_SIZE) -> DataFrame:
     """Exactly `num_steps` batches, `step` 0 onwards, reshuffled on each new pass.

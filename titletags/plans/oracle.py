@@ -267,6 +267,28 @@ def _greedy(words: str) -> str:
 
 
 VIEWS |= {
+    "v_numbered": """
+        select record_number, row_number() over (order by record_number) - 1 as number,
+               count(*) over () as n
+        from v_titles where record_number > 120000""",
+    "v_permuted": """
+        with recursive keys as (
+            select pass_no, r, ('0x' || substr(d, 1, 12))::bigint as k,
+                   ('0x' || substr(d, 13, 7))::bigint + 1 as factor,
+                   ('0x' || substr(d, 20, 7))::bigint as shift
+            from (select pass_no, r, md5((42 + pass_no) || ':' || r) as d
+                  from (select unnest(range(0, 3)) as pass_no) p
+                  cross join (select unnest(range(0, 32)) as r) q) t),
+        walk as (
+            select record_number, n, pass_no, 0::bigint as r, number as spot
+            from v_numbered cross join (select unnest(range(0, 3)) as pass_no) p
+            union all
+            select record_number, n, pass_no, r + 1,
+                   case when ((greatest(spot, partner) % 2147483647 * factor + shift)
+                              % 2147483647) // 65536 % 2 = 1 then partner else spot end
+            from (select w.*, (k - spot + n) % n as partner, factor, shift
+                  from walk w join keys using (pass_no, r)) t)
+        select record_number, n, pass_no, spot from walk where r = 32""",
     "v_greedy": _greedy("select token from v_gold"),
     "v_greedy_pieces": """
         select record_number, pos, y, i - 1 as piece_no, string_split(piece_ids, ' ')[i]::int as piece_id
@@ -492,6 +514,10 @@ STATEMENTS = {
                           where record_number > 120000) c
               where record_number > 120000) t
         where pass_no*nb + n//32 < nb*5//2""",
+    "cycle_permuted": """
+        select record_number, pass_no, pass_no*((n+31)//32) + spot//32 as step,
+               (spot%32)::int as slot
+        from v_permuted where pass_no*((n+31)//32) + spot//32 < (n+31)//32*5//2""",
     "stratified_folds": "select * from v_folds",
     "label_rarity": "select * from v_rarity",
     "split_fold_rows": """

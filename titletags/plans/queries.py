@@ -700,6 +700,18 @@ def cycle_batches(spark, d):
     return rows.select("record_number", "pass_no", "step", "slot")
 
 
+@query
+def cycle_permuted(spark, d):
+    """The same number of batches of a titles file, by the numbers of its rows."""
+    path = tables.shared_folder(spark)
+    titles = tables.records_above(fx.titles(spark, d), LAST_LABELLED)
+    tables.write_table(titles.orderBy("record_number"), path)
+    rows = tables.materialise(tables.read_titles(spark, path))
+    n_batches = -(-rows.count() // batches.BATCH_SIZE)
+    return batches.cycle_permuted(rows, n_batches * 5 // 2, folds.SEED).select(
+        "record_number", "pass_no", "step", "slot")
+
+
 # --- folds --------------------------------------------------------------------
 
 
