@@ -67,20 +67,26 @@ def cycle_permuted(rows: DataFrame, num_steps: int, seed: int, number: str = "ro
     shuffled; the number of rows is a scalar subquery, give a written table. No rows, or no
     steps, give no batches. `cycle_batches` needs no row numbers, and sorts.
     """
-    n = rows.agg(F.count("*")).scalar()
-    per_pass = F.call_function("div", F.col("_n") + (size - 1), F.lit(size))
-    passes = F.sequence(F.lit(0).cast("long"),
-                        F.call_function("div", F.lit(num_steps) - 1, F.col("_per_pass")))
-    sized = rows.filter(F.lit(num_steps > 0)).withColumn("_n", n).withColumn("_per_pass", per_pass)
-    repeated = sized.withColumn("pass_no", F.explode(passes))
-    place = permuted(F.col(number), F.col("_n"), round_keys(F.lit(seed) + F.col("pass_no"), F.col("_n")))
+    one = rows.agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))
+    one = one.withColumn("per_pass", F.call_function("div", F.col("n") + (size - 1), F.lit(size)))
+    last = F.call_function("div", F.lit(num_steps) - 1, F.col("per_pass"))
+    passes = F.sequence(F.lit(0).cast("long"), last)
+    # The keys of all passes are worked out once, not for each row.
+    sizes = one.select(F.struct("n", "per_pass", last.alias("last"), F.transform(
+        passes, lambda i: round_keys(F.lit(seed) + i, F.col("n"))).alias("keys"))).scalar()
+    sized = rows.filter(F.lit(num_steps > 0)).withColumn("_sizes", sizes)
+    repeated = sized.withColumn("pass_no", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("_sizes.last")))).withColumn(
+        "_per_pass", F.col("_sizes.per_pass"))
+    place = permuted(F.col(number), F.col("_sizes.n"),
+                     F.get("_sizes.keys", F.col("pass_no").cast("int")))
     placed = repeated.withColumn("_at", place)
     at = F.col("_at")
     step = F.col("pass_no") * F.col("_per_pass") + F.call_function("div", at, F.lit(size))
     return (
         placed.withColumn("step", step).withColumn("slot", (at % size).cast("int"))
         .filter(F.col("step") < num_steps)
-        .drop("_n", "_per_pass", "_at")
+        .drop("_sizes", "_per_pass", "_at")
     )
 
 
