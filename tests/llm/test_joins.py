@@ -81,6 +81,22 @@ def test_classes_of_lines(spark):
     assert links[1] == 1 and links[3] == 3 and links[4] == 0
 
 
+def test_lines_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr("titletags.llm.line_join.SETS_PER_BLOCK", 4)
+    monkeypatch.setattr("titletags.llm.line_join.WORDS_PER_BLOCK", 60)
+    base = [f"v{i}" for i in range(20)]
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1:]]) for i in range(20)]
+    wide = [" ".join([*base, *(f"y{j}" for j in range(i % 6))]) for i in range(12)]
+    other = [" ".join(f"z{(7 * i + j) % 31}" for j in range(6 + i % 3)) for i in range(30)]
+    lines = [*near, *wide, *other]
+    texts = [(i, "\n".join(lines[i::9])) for i in range(9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = brute_lines([t for _, t in texts])
+    got = sorted(similar_lines(docs).collect())
+    assert [tuple(r) for r in got] == [(i, *w) for (i, _), w in zip(texts, want)]
+    assert sum(w[2] for w in want) > 300
+
+
 def test_prefixes_are_as_short_as_they_may_be():
     for n in range(1, 60):
         least = math.ceil(round(0.8 * n, 9))
