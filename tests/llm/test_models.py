@@ -29,6 +29,28 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in kept) >= 0.99 * len(kept)
 
 
+def test_any_number_of_languages_can_be_learned(spark):
+    texts = [(3 * i + j, f"{chr(0x4E00 + i) * 3} some words {chr(0x4E00 + i)} {j}", f"l{i}")
+             for i in range(1000) for j in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 1000 and model.weights.nbytes <= language_id.MAX_MODEL_BYTES
+    rows = language_id.identify(docs, model).collect()
+    assert len(rows) == 3000 and {r["lang_pred"] for r in rows} <= {t[2] for t in texts}
+    truth = {t[0]: t[2] for t in texts}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) >= 0.9 * len(rows)
+
+
+def test_languages_by_fewer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_MODEL_BYTES", 8 * 4 * 2100)
+    docs = table(spark, SF)
+    model = language_id.fit(docs.filter("doc_id % 2 = 0"))
+    assert len(model.idf) == 2048 and len(model.languages) == 4
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    rows = [r for r in language_id.identify(docs, model).collect() if r["doc_id"] % 2]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) >= 0.95 * len(rows)
+
+
 def test_languages_of_tricky_documents(spark):
     docs = tricky(spark)
     model = language_id.fit(docs)

@@ -9,7 +9,9 @@ a bounded sample per language; a part of the sample that it does not learn from
 the temperature of its probabilities.
 
 Scale: no text is shuffled. One pass counts document frequencies into one vector per
-task, one pass scores. The model is buckets x languages numbers; its size is checked.
+task, one pass scores. The model is buckets x languages numbers, MAX_MODEL_BYTES at
+most: beyond 255 languages neighbouring buckets are put together, so that any number of
+languages can be learned, and beyond 8 the sample has fewer rows of each.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from titletags.llm.linear import ftrl, softmax
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-# Bound of the sample per language, and the share of it kept for the temperature.
+# Bounds of the sample per language and in all (one row of each language at least), and
+# the share of it kept for the temperature.
 ROWS_PER_LANGUAGE = 1000
+SAMPLE_ROWS = 8192
 CALIBRATION_SHARE = 0.2
 MAX_MODEL_BYTES = 1 << 26
 CHARS_AT_ONCE = 1 << 18
@@ -62,9 +66,22 @@ def ngram_counts(text: str) -> np.ndarray:
     return counts
 
 
+def put_together(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Counts in fewer buckets, a power of two."""
+    return counts if buckets == len(counts) else counts.reshape(buckets, -1).sum(axis=1)
+
+
+def buckets_for(languages: int) -> int:
+    """As many buckets, BUCKETS at most, as leave the model within MAX_MODEL_BYTES."""
+    buckets = BUCKETS
+    while buckets > 1 and (buckets + 1) * 8 * languages > MAX_MODEL_BYTES:
+        buckets //= 2
+    return buckets
+
+
 def sparse_features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of one text; the values have length one."""
-    counts = ngram_counts(text)
+    counts = put_together(ngram_counts(text), len(idf))
     at = np.flatnonzero(counts)
     values = (1.0 + np.log(counts[at])) * idf[at]
     norm = np.sqrt(values @ values)
@@ -87,14 +104,15 @@ class LanguageModel:
         return self.languages[best], float(p[best])
 
 
-def inverse_document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
+def inverse_document_frequencies(docs: DataFrame, text: str = "text",
+                                 buckets: int = BUCKETS) -> np.ndarray:
     """ln((1 + documents) / (1 + documents with the bucket)) + 1, over all rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequency, rows = np.zeros(BUCKETS + 1, np.int64), 0
+        frequency, rows = np.zeros(buckets + 1, np.int64), 0
         for batch in batches:
             for text in batch["_text"]:
-                frequency[:-1] += ngram_counts(text or "") > 0
+                frequency[:-1] += put_together(ngram_counts(text or ""), buckets) > 0
                 rows += 1
         frequency[-1] = rows
         at = np.flatnonzero(frequency)
@@ -104,7 +122,7 @@ def inverse_document_frequencies(docs: DataFrame, text: str = "text") -> np.ndar
         docs.select(F.col(text).alias("_text")).mapInPandas(count, "bucket int, n long")
         .groupBy("bucket").agg(F.sum("n").alias("n"))
     )
-    frequency = np.zeros(BUCKETS + 1)
+    frequency = np.zeros(buckets + 1)
     for bucket, n in counted.collect():  # one row per bucket
         frequency[bucket] = n
     return np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
@@ -122,7 +140,8 @@ def best_temperature(scores: np.ndarray, truth: np.ndarray) -> float:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
         rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Learn from the rows that have a language and a letter; `key` only draws the sample."""
+    """Learn from the rows that have a language and a letter; `key` only draws the sample,
+    of `rows_per_language` rows each and SAMPLE_ROWS in all."""
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"),
         F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit(2**63 - 1)).alias("_draw"))
@@ -130,15 +149,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
-    if (BUCKETS + 1) * 8 * len(languages) > MAX_MODEL_BYTES:
-        raise ValueError(f"{len(languages)} languages make the model too large to broadcast")
-    idf = inverse_document_frequencies(usable, "_text")
+    buckets = buckets_for(len(languages))
+    idf = inverse_document_frequencies(usable, "_text", buckets)
 
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("_lang") == name, min(1.0, rows_per_language / n)).otherwise(share)
-    drawn = usable.filter(F.col("_draw") <= share * float(2**63)).orderBy("_draw").limit(
-        rows_per_language * len(languages))
+    rows_each = min(rows_per_language, max(1, SAMPLE_ROWS // len(languages)))
+    shares = F.create_map(*[F.lit(x) for name, n in sizes.items()
+                            for x in (name, min(1.0, rows_each / n))])
+    drawn = usable.filter(F.col("_draw") <= shares[F.col("_lang")] * float(2**63)).orderBy(
+        "_draw").limit(rows_each * len(languages))
+    number = {name: i for i, name in enumerate(languages)}
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,13 +169,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     schema = "lang string, draw long, at binary, values binary"
     sample = [
         (np.frombuffer(r["at"], np.int32), np.frombuffer(r["values"], np.float32).astype(float),
-         languages.index(r["lang"]))
+         number[r["lang"]])
         for r in sorted(drawn.mapInPandas(features, schema).toLocalIterator(),
                         key=lambda r: (r["draw"], r["lang"]))
     ]
     every = max(2, round(1 / CALIBRATION_SHARE))
     learned = [row for i, row in enumerate(sample) if i % every]
-    weights = ftrl(learned or sample, BUCKETS, len(languages), alpha=1.0, l1=0.002, l2=0.01)
+    weights = ftrl(learned or sample, buckets, len(languages), alpha=1.0, l1=0.002, l2=0.01)
     kept = [row for i, row in enumerate(sample) if i % every == 0]
     scores = np.array([values @ weights[at] + weights[-1] for at, values, _ in kept])
     return LanguageModel(languages, idf, weights,
