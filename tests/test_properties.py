@@ -1,5 +1,7 @@
 """Laws that hold for any input, and inputs with one very heavy key."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -14,7 +16,7 @@ from titletags.operators.fill import forward_fill
 from titletags.operators.ordered import long_records, number_rows, range_chunk
 from titletags.operators.spans import decode_spans
 from titletags.plans import fixtures as fx
-from titletags.plans.quota_folds import _shares, quota_folds
+from titletags.plans.quota_folds import Lacking, deal_sets, quota_folds
 
 FEW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 LABELS = [row[1] for row in label_rows()]
@@ -129,10 +131,70 @@ def test_missing_fold_has_no_test_rows(spark, heavy):
     assert (train.count(), test.count()) == (60_000, 0)
 
 
-@given(st.lists(st.floats(-50, 50), min_size=2, max_size=8), st.integers(0, 1000))
-def test_quota_shares_add_up(lacking, size):
-    shares = _shares(lacking, size)
-    assert sum(shares) == size and min(shares) >= 0
+@given(st.lists(st.tuples(st.integers(0, 300), st.sets(st.integers(0, 9), min_size=1)),
+                max_size=30), st.integers(2, 8))
+def test_shares_of_label_sets_are_even_and_add_up(sets, k):
+    found = [(n, sorted(labels), min(labels)) for n, labels in sets]
+    lacking = Lacking(k, 10)
+    shares = deal_sets(found, lacking)
+    sizes, per_label = sum(shares, np.zeros(k)), np.zeros((k, 10))
+    for (n, labels, _), share in zip(found, shares, strict=True):
+        assert share.sum() == n and set(share) <= {n // k, -(-n // k)}
+        per_label[:, labels] += share[:, None]
+    assert np.allclose(sizes.mean() - sizes, lacking.size)
+    assert np.allclose(per_label.mean(axis=0) - per_label, lacking.labels)
+
+
+def greedy_folds(records, k):
+    """Records one after another, the label with the fewest left first, each to the fold
+    that lacks most of it."""
+    total = Counter(x for labels in records for x in labels)
+    lacking = [{x: n / k for x, n in total.items()} for _ in range(k)]
+    sizes, left = [len(records) / k] * k, set(range(len(records)))
+    while left:
+        remaining = Counter(x for i in left for x in records[i])
+        label = min(remaining, key=lambda x: (remaining[x], x))
+        for i in sorted(i for i in left if label in records[i]):
+            fold = max(range(k), key=lambda f: (lacking[f][label], sizes[f], -f))
+            for x in records[i]:
+                lacking[fold][x] -= 1
+            sizes[fold] -= 1
+            left.remove(i)
+    return [abs(x) for fold in lacking for x in fold.values()]
+
+
+@pytest.mark.parametrize("max_sets", [8, 1 << 14])
+def test_quota_folds_are_as_even_as_a_plain_greedy(spark, max_sets):
+    rng = np.random.default_rng(7)
+    chance = 0.6 / np.arange(1, 13)
+    records = [sorted({int(x) for x in np.flatnonzero(rng.random(12) < chance)} or {0})
+               for _ in range(1000)]
+    counts = spark.createDataFrame(
+        [(i, x) for i, labels in enumerate(records) for x in labels],
+        "record_number long, label_id int")
+    got = quota_folds(counts, 5, max_sets=max_sets).collect()
+    assert sorted(r["record_number"] for r in got) == list(range(1000))
+    total = Counter(x for labels in records for x in labels)
+    placed, by_set = Counter(), Counter()
+    for r in got:
+        placed.update((r["fold"], x) for x in records[r["record_number"]])
+        by_set[r["fold"], tuple(records[r["record_number"]])] += 1
+    off = [abs(placed[f, x] - n / 5) for x, n in total.items() for f in range(5)]
+    if max_sets > 8:
+        assert max(off) <= max(greedy_folds(records, 5))
+        assert sum(off) <= sum(greedy_folds(records, 5)) and max(off) <= 1
+        for s in {s for _, s in by_set}:
+            n = [by_set[f, s] for f in range(5)]
+            assert max(n) - min(n) <= 1
+    else:
+        assert max(off) <= 20
+
+
+def test_quota_folds_without_records(spark):
+    none = spark.createDataFrame([], "record_number long, label_id int")
+    assert quota_folds(none).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, 3), (2, None)], none.schema)
+    assert [r["record_number"] for r in quota_folds(nulls).collect()] == [2]
 
 
 def test_batches_are_full_but_the_last(spark):

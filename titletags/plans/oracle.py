@@ -605,6 +605,11 @@ STATEMENTS |= {
                     where record_number > 120000) w""",
     "quota_folds_once": """
         select record_number, 1 as n_folds, 1 as in_range from v_reclab group by record_number""",
+    "quota_fold_label_sets": """
+        select labels, count(*) as n_records, 1 as is_even
+        from (select record_number, string_agg(label_id::varchar, ' ' order by label_id) as labels
+              from (select distinct record_number, label_id from v_reclab) x group by 1) y
+        group by labels""",
     "quota_fold_totals": """
         select label_id, n_records, 1 as is_even from v_rarity""",
 }

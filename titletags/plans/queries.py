@@ -30,6 +30,7 @@ from titletags.operators.ordered import long_records
 from titletags.operators.spans import aspect_words, decode_spans, first_piece_labels
 from titletags.plans import fixtures as fx
 from titletags.plans import inference, jobs, tagging, training
+from titletags.plans.quota_folds import label_sets
 from titletags.plans.quota_folds import quota_folds as assign_quota_folds
 from titletags.sources import models, tables
 
@@ -804,6 +805,21 @@ def quota_folds(spark, d):
     return assign_quota_folds(counts)
 
 
+@query
+def quota_fold_label_sets(spark, d):
+    """Records per label set, and whether its folds differ by one record at most."""
+    counts = _record_labels(spark, d)
+    sets = label_sets(counts).join(assign_quota_folds(counts).select("record_number", "fold"),
+                                   "record_number")
+    per_fold = sets.groupBy("labels").agg(
+        F.count("*").alias("n_records"),
+        *[F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(5)])
+    n = [F.col(f"n{f}") for f in range(5)]
+    return per_fold.select(
+        _text(F.col("labels")).alias("labels"), "n_records",
+        (F.greatest(*n) - F.least(*n) <= 1).cast("int").alias("is_even"))
+
+
 @query
 def quota_fold_balance(spark, d):
     """How far the records of each label are from an even spread over the folds."""
