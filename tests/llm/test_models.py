@@ -194,15 +194,6 @@ def test_transitions_are_probabilities():
     assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
 
 
-def test_words_of_a_class_are_probabilities():
-    counts = np.array([5, 3, 1, 1])
-    n, types = np.zeros(16, int), np.zeros(16, int)
-    n[2], types[2] = counts.sum(), len(counts)
-    model = pitman_yor.LanguageModel([], np.zeros(0), 0, 1, 11, 5, n, types, np.full(16, 0.4))
-    at = np.full(5, 2)
-    assert (10 ** model.log_within(at, np.append(counts, 0))).sum() == pytest.approx(1)
-
-
 def test_seatings_have_the_exact_distribution():
     """Tables of 5 customers: weight of a seating is a^t times (1 - d) rising per table."""
     c, a, d = 5, 0.8, 0.3
