@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titletags.sources.tables import materialise
+
 MARK = "##"
 
 
@@ -73,11 +75,12 @@ def with_vocabulary_ids(words: DataFrame, vocabulary: DataFrame, unknown_id: int
                         out: str = "piece_ids") -> DataFrame:
     """Add the ids of the pieces of each word.
 
-    An empty word has no pieces, a NULL word has NULL. With an empty vocabulary every word
+    The pieces of the distinct words are written out, so that their measured size decides
+    whether they are broadcast. An empty word has no pieces, a NULL word has NULL. With an empty vocabulary every word
     is unknown.
     """
-    known = longest_matches(words, vocabulary, token, mark).select(
-        F.col(token).alias("_word"), greedy_pieces(F.col("places"), unknown_id).alias(out))
+    known = materialise(longest_matches(words, vocabulary, token, mark).select(
+        F.col(token).alias("_word"), greedy_pieces(F.col("places"), unknown_id).alias(out)))
     joined = words.join(known, words[token] == known["_word"], "left").drop("_word")
     return joined.withColumn(out, F.when(F.col(token) == "", F.array().cast("array<int>"))
                              .otherwise(F.col(out)))
