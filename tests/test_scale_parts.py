@@ -30,3 +30,12 @@ def test_fill_in_many_parts(spark, sf_dir):
     words = fx._tagged_words(fx._in_chunks(fx.records(spark, sf_dir), chunks), *fx.PLACE)
     got = forward_fill(words, inner=True, chunks=chunks, placed=True).drop(*fx.PLACE)
     assert chunks.count > ordered.FANOUT // 2 and rows(got) == rows(fx.filled(spark, sf_dir))
+
+
+def test_softmax_of_arrays_of_any_size(spark):
+    given = [([1.0, 2.0, 4.5],), ([0.0, 0.0, 0.0],), ([800.0, -800.0, 799.0],), ([1.0, 2.0],), ([],), (None,),
+             ([1.0, 2.0, 3.0, 4.0],), ([1.0, None, 2.0],)]
+    df = spark.createDataFrame(given, "logits array<double>")
+    both = arrays.with_softmax(df, "logits", 3).withColumn("wanted", arrays.softmax(F.col("logits")))
+    assert both.columns == ["logits", "prob", "wanted"]
+    assert all(r["prob"] == r["wanted"] for r in both.collect())
