@@ -17,6 +17,15 @@ def rows(df, *columns):
     return sorted(map(tuple, df.select(*(columns or df.columns)).collect()), key=repr)
 
 
+@pytest.fixture
+def small_parts(monkeypatch):
+    """So few rows to a partition that the tables at hand need many."""
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 500)
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 5000)
+    chunks = fx.tagged_chunks
+    monkeypatch.setattr(fx, "tagged_chunks", lambda spark, sf_dir: chunks(spark, sf_dir, 5000))
+
+
 @pytest.mark.parametrize("inner", [False, True])
 def test_words_are_not_shuffled_to_be_filled(spark, sf_dir, inner):
     filled = fx.filled(spark, sf_dir, inner)
@@ -39,3 +48,28 @@ def test_softmax_of_arrays_of_any_size(spark):
     both = arrays.with_softmax(df, "logits", 3).withColumn("wanted", arrays.softmax(F.col("logits")))
     assert both.columns == ["logits", "prob", "wanted"]
     assert all(r["prob"] == r["wanted"] for r in both.collect())
+
+
+def test_shuffles_by_key_grow_in_number(spark, small_parts):
+    df = spark.range(20_000).select((F.col("id") % 4000).alias("k"))
+    dealt = ordered.by_keys(df, ["k"], df.count())
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"))
+    assert dealt.rdd.getNumPartitions() == 40 and sizes.first()[0] < 1500
+    assert ordered.by_keys(df, ["k"], 500) is df
+
+
+def test_labels_are_counted_where_the_words_lie(spark, sf_dir):
+    words = fx.gold_in_parts(spark, sf_dir).withColumnRenamed("y", "label_id")
+    there = folds.record_label_counts(words, place=fx.PLACE)
+    assert "hashpartitioning(record_number" not in plan(there)
+    assert rows(there) == rows(folds.record_label_counts(words))
+
+
+def test_folds_in_many_parts(spark, sf_dir, monkeypatch):
+    want = {q: rows(queries.QUERIES[q](spark, sf_dir)) for q in ("stratified_folds", "test_fold_words")}
+    examples = rows(queries._examples(spark, sf_dir))
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 500)
+    counts = queries._record_labels(spark, sf_dir)
+    assert folds.strata(counts).rdd.getNumPartitions() > 8
+    assert {q: rows(queries.QUERIES[q](spark, sf_dir)) for q in want} == want
+    assert rows(queries._examples(spark, sf_dir)) == examples

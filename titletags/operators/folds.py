@@ -12,16 +12,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titletags.functions.text import shuffle_key
-from titletags.operators.ordered import digest_chunk, number_rows
+from titletags.operators.ordered import by_keys, digest_chunk, number_rows
 from titletags.sources.tables import materialise
 
 SEED = 42
 
 
 def record_label_counts(words: DataFrame, record: str = "record_number",
-                        label: str = "label_id") -> DataFrame:
-    """Words per record and label: at most 70 rows for even the longest record."""
-    return words.groupBy(record, label).agg(F.count("*").alias("n_words"))
+                        label: str = "label_id", place: Sequence[str] = ()) -> DataFrame:
+    """Words per record and label: at most 70 rows for even the longest record.
+
+    `place` names columns by which the words lie dealt out and of which no record has two
+    values; they are counted where they lie then.
+    """
+    counts = words.groupBy(record, label, *place).agg(F.count("*").alias("n_words"))
+    return counts.drop(*place)
 
 
 def label_rarity(record_labels: DataFrame, label: str = "label_id") -> DataFrame:
@@ -37,18 +42,19 @@ def strata(record_labels: DataFrame, seed: int = SEED, record: str = "record_num
 
     A stratum may hold most records, so ranks are counted within (stratum, leading
     digest digits) and shifted by the counts of the digests before. The strata are written
-    out once and read for the number of digits, the counts and the ranks; give a written
+    out once and read for their number, the counts and the ranks; give a written
     table of `record_labels` as well.
     """
     rarity = label_rarity(record_labels, label).select(label, "rarity")
     rarest = materialise(
-        record_labels.join(F.broadcast(rarity), label)
+        by_keys(record_labels, [record], record_labels.count())
+        .join(F.broadcast(rarity), label)
         .groupBy(record)
         .agg(F.min("rarity").alias("stratum"))
     ).withColumn("_digest", shuffle_key(seed, F.col(record)))
     return number_rows(
         rarest, ["_digest", record], digest_chunk(F.col("_digest"), rarest), keys=["stratum"],
-        out="rank",
+        out="rank", n_rows=rarest.count(),
     ).drop("_digest")
 
 
@@ -59,10 +65,11 @@ def assign_folds(record_labels: DataFrame, k: int = 5, seed: int = SEED,
     return ranked.select(record, "stratum", (F.col("rank") % k).cast("int").alias("fold"))
 
 
-def split_fold(rows: DataFrame, folds: DataFrame, fold: int,
-               record: str = "record_number") -> tuple[DataFrame, DataFrame]:
-    """Train and test rows of one fold; a fold that does not exist has no test rows."""
-    assigned = rows.join(folds.select(record, "fold"), record)
+def split_fold(rows: DataFrame, folds: DataFrame, fold: int, record: str = "record_number",
+               n_rows: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of one fold; a fold that does not exist has no test rows. Where
+    the number of rows is known, it decides on the number of partitions."""
+    assigned = by_keys(rows, [record], n_rows).join(folds.select(record, "fold"), record)
     return assigned.filter(F.col("fold") != fold), assigned.filter(F.col("fold") == fold)
 
 
