@@ -73,3 +73,13 @@ def test_folds_in_many_parts(spark, sf_dir, monkeypatch):
     assert folds.strata(counts).rdd.getNumPartitions() > 8
     assert {q: rows(queries.QUERIES[q](spark, sf_dir)) for q in want} == want
     assert rows(queries._examples(spark, sf_dir)) == examples
+
+
+def test_spans_are_made_and_written_where_the_words_lie(spark, sf_dir, small_parts):
+    spans = queries._gold_spans(spark, sf_dir)
+    assert "hashpartitioning(record_number" not in plan(spans)
+    wanted = decode_spans(queries._labelled(spark, sf_dir)).orderBy("record_number", "span_no")
+    path = queries._span_file(spark, spans, dealt=True)
+    lines = tables.read_lines(spark, path).orderBy("line_no").select("line")
+    other = tables.read_lines(spark, queries._span_file(spark, wanted)).orderBy("line_no").select("line")
+    assert spans.rdd.getNumPartitions() > 1 and lines.collect() == other.collect()
