@@ -26,6 +26,15 @@ def small_parts(monkeypatch):
     monkeypatch.setattr(fx, "tagged_chunks", lambda spark, sf_dir: chunks(spark, sf_dir, 5000))
 
 
+def test_tails_of_chunks_are_made_once(spark):
+    df = spark.range(3000).select(F.col("id").alias("row_idx"), F.when(F.col("id") % 7 == 0, "t").alias("tag"))
+    df = forward_fill(df, rows_per_chunk=10)
+    assert df.count() == df.filter("tag = 't'").count() == 3000
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("functions=[max_by(tag") + final.count("functions=[partial_max_by(tag") == 2
+
+
 @pytest.mark.parametrize("inner", [False, True])
 def test_words_are_not_shuffled_to_be_filled(spark, sf_dir, inner):
     filled = fx.filled(spark, sf_dir, inner)
