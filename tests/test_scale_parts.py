@@ -92,3 +92,10 @@ def test_spans_are_made_and_written_where_the_words_lie(spark, sf_dir, small_par
     lines = tables.read_lines(spark, path).orderBy("line_no").select("line")
     other = tables.read_lines(spark, queries._span_file(spark, wanted)).orderBy("line_no").select("line")
     assert spans.rdd.getNumPartitions() > 1 and lines.collect() == other.collect()
+
+
+@pytest.mark.parametrize("query", ["word_sequences", "token_tag_pairs", "pseudo_labels_all_pieces"])
+def test_words_are_gathered_where_they_lie(spark, sf_dir, query):
+    df = queries.QUERIES[query](spark, sf_dir)
+    assert "hashpartitioning(record_number" not in plan(df)
+    assert df.select("record_number").distinct().count() == fx.records(spark, sf_dir).count()
