@@ -67,6 +67,24 @@ def test_shuffles_by_key_grow_in_number(spark, small_parts):
     assert ordered.by_keys(df, ["k"], 500) is df
 
 
+def test_shuffles_by_key_are_not_put_together_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 5000)
+    df = spark.range(20_000).select((F.col("id") % 4000).alias("k"))
+    dealt = ordered.by_keys(df, ["k"], df.count())
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"))
+    assert "REPARTITION_BY_NUM" in plan(dealt) and sizes.first()[0] < 5000
+
+
+def test_many_parts_are_not_broadcast(spark, sf_dir, monkeypatch):
+    want = rows(fx.records(spark, sf_dir))
+    monkeypatch.setattr(fx, "ROWS_PER_CHUNK", 50)
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 500)
+    got = fx.records(spark, sf_dir)
+    assert "SortMergeJoin" in plan(got) and "BroadcastHashJoin" not in plan(got)
+    assert plan(got).count("Exchange hashpartitioning(p_partkey") == 2
+    assert rows(got) == want
+
+
 def test_labels_are_counted_where_the_words_lie(spark, sf_dir):
     words = fx.gold_in_parts(spark, sf_dir).withColumnRenamed("y", "label_id")
     there = folds.record_label_counts(words, place=fx.PLACE)

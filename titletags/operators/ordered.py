@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 1 << 18
-# Rows of a partition of a shuffle by key, where the session has too few partitions.
+# Rows of a partition of a shuffle by key, where there are more of them than this.
 ROWS_PER_PART = 1 << 20
 # A key with more rows than this is handled chunk by chunk, others in one group.
 HOT_ROWS = 1 << 18
@@ -109,11 +109,15 @@ def by_chunks(rows: DataFrame, chunks: Chunks, order: Column) -> DataFrame:
 
 
 def by_keys(rows: DataFrame, keys: Sequence[str], n_rows: int) -> DataFrame:
-    """Rows dealt out by `keys`, ROWS_PER_PART to a partition, for what comes next by these
-    keys. Where the partitions that the session has will do, this is left to Spark."""
+    """Rows dealt out by `keys`, ROWS_PER_PART to a partition at most, for what comes next by
+    these keys. What fits in one partition is left to Spark; of more rows it would put
+    partitions together by their bytes, and small rows are many in these."""
     n = -(-n_rows // ROWS_PER_PART)
-    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows if n <= few else rows.repartition(n, *keys)
+    if n <= 1:
+        return rows
+    spark = rows.sparkSession
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(n, min(few, spark.sparkContext.defaultParallelism)), *keys)
 
 
 @dataclass(frozen=True)
