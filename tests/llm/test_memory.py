@@ -5,8 +5,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 
-from titletags.llm import search
+from titletags.llm import line_join, search, words
 
 
 def peak_mb(work) -> float:
@@ -33,3 +35,25 @@ def test_a_shard_in_the_making_holds_numbers_not_words():
     assert peak_mb(work) < 10  # 400,000 words as bytes alone are 16 MB
     both = [i for i, t in enumerate(texts) if {"word1", "word2"} <= set(t.split())][:5]
     assert both and list(pd.concat(found)["doc_id"])[:len(both)] == both
+
+
+def test_frequent_words_are_no_table_of_a_worker():
+    """The sets of lines take the frequent words as the arrays that were broadcast."""
+    frequent = line_join.frequent_words([f"word{i}".encode() for i in range(1 << 18)])
+    lines = pa.array([" word5  WORD3 word5 other\u00a0x", "", " \t", "word3 word3"])
+    made = []
+
+    assert peak_mb(lambda: made.append(line_join._Sets(frequent, lines))) < 10
+    sets, key = made[0], line_join.FREQUENT + (1 << 18)
+    rare = xxhash.xxh64_intdigest("other\u00a0x".encode()) >> 2
+    assert sets.n.tolist() == [3, 0, 0, 1]
+    assert sets.keys.tolist() == [rare, key - 5, key - 3, key - 3]
+
+
+def test_words_are_split_as_one_by_one():
+    texts = [" A\x0bb\x0c\x1cc ", None, "", "\t\n", "d\u00c9\u00a0e\x85f g\r", "a"]
+    found, owner = words.split_words(pa.array(texts))
+    want = [(i, w.decode()) for i, t in enumerate(texts) for w in words.words_of(t)]
+    assert list(zip(owner.tolist(), found.to_pylist())) == want
+    assert list(words.portions(pa.array(["aaaa", "b", None, "cc", "dddddddd"]), 6)) == [
+        (0, 1), (1, 4), (4, 5)]
