@@ -6,9 +6,13 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 import xxhash
 
-from titletags.llm import line_join, search, words
+from tests.test_scale_r03 import plan
+from titletags.llm import components, line_join, search, simhash, words
+from titletags.llm.common import written
+from titletags.llm.simhash import drop_near_duplicates, near_duplicates
 
 
 def peak_mb(work) -> float:
@@ -57,3 +61,22 @@ def test_words_are_split_as_one_by_one():
     assert list(zip(owner.tolist(), found.to_pylist())) == want
     assert list(words.portions(pa.array(["aaaa", "b", None, "cc", "dddddddd"]), 6)) == [
         (0, 1), (1, 4), (4, 5)]
+
+
+@pytest.mark.parametrize("operator", [near_duplicates, drop_near_duplicates])
+def test_what_grows_with_the_corpus_is_not_broadcast(spark, monkeypatch, operator):
+    """However small Spark holds it: keys of fingerprints are sized before they are unfolded."""
+    rows = [(i, " ".join(f"w{(i % 40) * 7 + k + (k == i % 3)}" for k in range(60))) for i in range(120)]
+    rows.append((119, "another"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = []
+
+    def seen(table):
+        plans.append(plan(table))
+        return written(table)
+
+    for module in (components, simhash):
+        monkeypatch.setattr(module, "written", seen)
+    plans.append(plan(operator(docs)))
+    assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titletags.llm.common import written
+from titletags.llm.common import merged, written
 from titletags.llm.components import components
 
 WORDS = 4
@@ -97,14 +97,14 @@ def links(prints: DataFrame) -> DataFrame:
         .filter(F.col("members") > 1)
         .drop("members")
     )
-    met = written(keyed.drop("n").join(leaders, ["choice", "part"]))
+    met = written(keyed.drop("n").join(merged(leaders), ["choice", "part"]))
     stars = written(
         met.filter((F.col("bits") != F.col("leader")) & _near("bits", "leader"))
         .select(F.col("bits").alias("a"), F.col("leader").alias("b")).distinct()
     )
     roots = components(stars)
     placed = written(
-        met.drop("leader").join(roots.withColumnRenamed("node", "bits"), "bits", "left")
+        met.drop("leader").join(merged(roots.withColumnRenamed("node", "bits")), "bits", "left")
         .withColumn("root", F.coalesce("root", "bits"))
     )
     largest = (
@@ -115,12 +115,12 @@ def links(prints: DataFrame) -> DataFrame:
         .drop("parts")
     )
     # What is left to compare: under keys that hold several components so far.
-    open_ = written(placed.join(largest, ["choice", "part"]))
+    open_ = written(placed.join(merged(largest), ["choice", "part"]))
     minor = open_.filter(F.col("root") != F.col("main")).select(
         "choice", "part", F.col("bits").alias("a"), F.col("root").alias("root_a"))
     others = open_.select("choice", "part", F.col("bits").alias("b"), F.col("root").alias("root_b"))
     rest = (
-        minor.join(others, ["choice", "part"])
+        minor.join(merged(others), ["choice", "part"])
         .filter((F.col("root_a") != F.col("root_b")) & _near("a", "b"))
         .select("a", "b").distinct()
     )
@@ -144,14 +144,14 @@ def _placed(prints: DataFrame) -> DataFrame:
     roots = components(links(prints))
     rooted = written(
         prints.groupBy("bits").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        .join(roots.withColumnRenamed("node", "bits"), "bits", "left")
+        .join(merged(roots.withColumnRenamed("node", "bits")), "bits", "left")
         .withColumn("root", F.coalesce("root", "bits"))
     )
     groups = rooted.groupBy("root").agg(
         F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    classes = written(rooted.join(groups, "root")
+    classes = written(rooted.join(merged(groups), "root")
                       .select("bits", "component_id", "component_size"))
-    return prints.join(classes, "bits").select(
+    return prints.join(merged(classes), "bits").select(
         "doc_id",
         F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"),
         "component_id", "component_size",
@@ -174,14 +174,15 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     def of(keys: DataFrame) -> DataFrame:
         on = F.col("a._id").eqNullSafe(F.col("b._id"))
-        return whole.alias("a").join(keys.alias("b"), on, "left_semi")
+        return whole.alias("a").join(merged(keys.alias("b")), on, "left_semi")
 
     # Ids with one row in their component and in the table are the rule.
     rows = written(prints.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_all")))
     single = rows.filter(F.col("_all") == 1)
     on = F.col("a._id").eqNullSafe(F.col("b._id"))
-    once = of(stay.alias("a").join(single.alias("b"), on, "left_semi")).select("_row.*")
-    many = written(stay.alias("a").join(rows.filter(F.col("_all") > 1).alias("b"), on, "left_semi"))
+    once = of(stay.alias("a").join(merged(single.alias("b")), on, "left_semi")).select("_row.*")
+    more = merged(rows.filter(F.col("_all") > 1).alias("b"))
+    many = written(stay.alias("a").join(more, on, "left_semi"))
     if many.isEmpty():
         return once
     repeated = of(many).select("_row.*")
@@ -192,7 +193,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         F.lpad(F.lower(F.hex("bits")), 16, "0").alias("_print"))
     on = on & (F.col("a._print") == F.col("b._print"))
     first = (
-        hexed.alias("a").join(many.alias("b"), on, "left_semi")
+        hexed.alias("a").join(merged(many.alias("b")), on, "left_semi")
         .groupBy("_id", "_print").agg(F.min("_row").alias("_row")).select("_row.*")
     )
     return once.unionByName(first)
