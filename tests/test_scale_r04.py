@@ -57,3 +57,12 @@ def test_tables_written_at_a_time_leave_the_setting_as_it_was(spark):
     with pytest.raises(ValueError), tables.shuffles_freed(spark):
         raise ValueError
     assert spark.conf.get(tables.FREED) == conf
+
+
+def test_scores_and_labels_meet_words_where_they_lie(spark, sf_dir, small_parts):  # noqa: F811
+    spans = queries.QUERIES["ensemble_spans"](spark, sf_dir)
+    assert "hashpartitioning(record_number" not in plan(spans)
+    labels = queries.QUERIES["ensemble_label"](spark, sf_dir)
+    named = queries.lookup.with_label(labels).join(
+        fx.tagged(spark, sf_dir).select("record_number", "pos", "token"), ["record_number", "pos"])
+    assert rows(spans) == rows(decode_spans(named), *spans.columns)
