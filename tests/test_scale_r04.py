@@ -59,6 +59,24 @@ def test_tables_written_at_a_time_leave_the_setting_as_it_was(spark):
     assert spark.conf.get(tables.FREED) == conf
 
 
+def test_words_are_not_shuffled_to_be_counted_per_fold(spark, sf_dir, monkeypatch, small_parts):  # noqa: F811
+    plans, write = [], tables.materialise
+    monkeypatch.setattr(training, "materialise", lambda df: plans.append(plan(df)) or write(df))
+    examples = queries._examples(spark, sf_dir)
+    assert "SortMergeJoin" in plans[0] and "hashpartitioning(record_number" not in plans[0]
+    assert examples.agg(F.sum("n")).first()[0] == fx.gold(spark, sf_dir).count()
+
+
+def test_neighbours_are_found_where_the_words_lie(spark):
+    given = [(r, p, f"w{r}{p}", 0, 0) for r in (1, 2, 3) for p in range(4)]
+    words = spark.createDataFrame(given, "record_number long, pos int, token string, _part int, _chunk int")
+    long = spark.createDataFrame([(2,)], "record_number long")
+    want = rows(with_neighbours(words.drop("_part", "_chunk")))
+    got = with_neighbours(words, long=long, place=("_part", "_chunk"))
+    assert rows(got, "record_number", "pos", "token", "prev", "next") == want
+    assert {(r["_part"], r["_chunk"]) for r in got.collect()} == {(0, 0)}
+
+
 def test_scores_and_labels_meet_words_where_they_lie(spark, sf_dir, small_parts):  # noqa: F811
     spans = queries.QUERIES["ensemble_spans"](spark, sf_dir)
     assert "hashpartitioning(record_number" not in plan(spans)
