@@ -84,3 +84,44 @@ def test_scores_and_labels_meet_words_where_they_lie(spark, sf_dir, small_parts)
     named = queries.lookup.with_label(labels).join(
         fx.tagged(spark, sf_dir).select("record_number", "pos", "token"), ["record_number", "pos"])
     assert rows(spans) == rows(decode_spans(named), *spans.columns)
+
+
+@pytest.mark.parametrize("limit, dealt", [(40, True), (10, False)])
+def test_titles_are_shuffled_not_their_words(spark, tmp_path, monkeypatch, limit, dealt):
+    """With many contexts words are, and the output is in the same order."""
+    ids = {row[1]: row[0] for row in label_rows()}
+
+    def score(contexts, model, out="label_id"):
+        label = F.when(F.col("token").rlike("^[0-9]"), ids["No Tag"]).when(
+            F.col("token") == "Air", ids["Modell"]).otherwise(ids["Marke"])
+        return contexts.withColumn(out, label)
+
+    seen, write = [], tables.write_spans
+
+    def written(spans, *args, **kwargs):
+        seen.append((plan(spans), kwargs["dealt"], spans.rdd.getNumPartitions()))
+        write(spans, *args, **kwargs)
+
+    monkeypatch.setattr(tagging, "score", score)
+    monkeypatch.setattr(models, "load_model", lambda spark, path: ("model", None))
+    monkeypatch.setattr(tables, "write_spans", written)
+    monkeypatch.setattr(inference, "ROWS_PER_CHUNK", limit)
+    titles = spark.createDataFrame(
+        [(i % 60 if i % 7 else None, f"Nike{i % 5} Air {i % 3}") for i in range(90)], "record_number long, title string")
+    tables.write_table(titles, str(tmp_path / "t"))
+    jobs.label_titles(spark, str(tmp_path / "t"), ["m"], str(tmp_path / "out"))
+    read = tables.read_titles(spark, str(tmp_path / "t"))
+    want = [line for r in read.orderBy("row_idx").collect() for a, v in (("Marke", 0), ("Modell", 1))
+            for line in [(r["record_number"], a, r["title"].split()[v])]]
+    lines = tables.read_lines(spark, str(tmp_path / "out")).orderBy("line_no").collect()
+    assert [r["line"].rstrip("\r") for r in lines] == ["\t".join(["" if x is None else str(x) for x in w]) for w in want]
+    text, was_dealt, parts = seen[0]
+    assert was_dealt is dealt and (parts > 1 or not dealt)
+    assert ("Exchange" not in text.split("Generate")[0].replace("BroadcastExchange", "")) is dealt
+
+    plain = decode_spans(queries.lookup.with_label(score(title_words_in_context(read), "model")))
+    got = inference.infer_spans(read, ["model"])
+    assert {r[0] for r in got.select("record_number").collect()} == {w[0] for w in want}
+    alone = read.filter("record_number is not null").groupBy("record_number").count().filter("count = 1")
+    on = alone.select("record_number")
+    assert rows(got.join(on, "record_number"), *plain.columns) == rows(plain.join(on, "record_number"), *plain.columns)
