@@ -86,6 +86,31 @@ def test_scores_and_labels_meet_words_where_they_lie(spark, sf_dir, small_parts)
     assert rows(spans) == rows(decode_spans(named), *spans.columns)
 
 
+def test_outputs_are_written_where_their_words_lie(spark, sf_dir, monkeypatch, small_parts):  # noqa: F811
+    plans, write = [], tables.write_spans
+
+    def seen(spans, *args, **kwargs):
+        plans.append((plan(spans), kwargs["dealt"]))
+        write(spans, *args, **kwargs)
+
+    monkeypatch.setattr(tables, "write_spans", seen)
+    queries._output_diff(spark, sf_dir)
+    assert len(plans) == 2 and all(dealt and "hashpartitioning(record_number" not in p for p, dealt in plans)
+
+
+@pytest.mark.parametrize("step", [1, 1000])
+def test_lines_are_dealt_out_with_their_neighbours(spark, monkeypatch, step):
+    monkeypatch.setattr(compare, "CHUNKS_PER_PART", 2)
+    left = {i * step: f"a{i}" for i in range(200)}
+    right = {i * step: f"a{i + (i % 3 == 0)}" for i in range(230)}
+    a, b = (spark.createDataFrame(list(x.items()), "line_no long, line string") for x in (left, right))
+    diff = compare.line_diff(a, b, lines_per_chunk=10)
+    assert diff.columns == ["line_no", "line_a", "line_b"]
+    assert plan(diff).count("shufflepartitionidpassthrough") == 2 and "Exchange hashpartitioning(line_no" not in plan(diff)
+    want = {(n, left.get(n), right.get(n)) for n in right if left.get(n) != right[n]}
+    assert set(map(tuple, diff.collect())) == want
+
+
 @pytest.mark.parametrize("limit, dealt", [(40, True), (10, False)])
 def test_titles_are_shuffled_not_their_words(spark, tmp_path, monkeypatch, limit, dealt):
     """With many contexts words are, and the output is in the same order."""
